@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import canonical, forest, survivors
+from tidemark.llm import canonical, forest, neardup, survivors
 from tidemark.storage import table
 
 
@@ -12,6 +12,8 @@ def _q(build, *tables):
 
 QUERIES = {
     "p2_found": _q(forest.found_listings, "postings", "platforms"),
+    "p3_found": _q(neardup.found_reposts, "postings"),
+    "p3_groups": _q(neardup.repost_groups, "postings"),
     "p4_found": _q(canonical.found_canonical, "postings", "places", "role_titles"),
     "p5_found": _q(survivors.found_survivors, "postings", "platforms", "date_sources"),
     "p5_quality": _q(survivors.source_quality, "postings", "platforms", "date_sources"),

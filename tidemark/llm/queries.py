@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import canonical, forest, neardup, packing, survivors, tokens
+from tidemark.llm import canonical, forest, neardup, packing, subjects, survivors, tokens
 from tidemark.storage import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "p5_found": _q(survivors.found_survivors, "postings", "platforms", "date_sources"),
     "p5_quality": _q(survivors.source_quality, "postings", "platforms", "date_sources"),
     "p8_ids": _q(tokens.token_ids, "documents"),
+    "p10_found": _q(subjects.found_subjects, "documents", "subject_labels"),
     "p9_packing": _q(packing.packed, "documents"),
     "p9_report": _q(packing.packing_report, "documents"),
 }

@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -52,6 +52,14 @@ def stash(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast after counting that it has at most ``rows`` rows.
+
+    Beyond the bound it is returned as it is, and the planner joins it by shuffle.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _PATHS: list[tuple[SparkSession, str]] = []
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import canonical, forest, neardup, packing, subjects, survivors, tokens
+from tidemark.llm import canonical, forest, neardup, packing, pii, subjects, survivors, tokens
 from tidemark.storage import table
 
 
@@ -17,6 +17,8 @@ QUERIES = {
     "p4_found": _q(canonical.found_canonical, "postings", "places", "role_titles"),
     "p5_found": _q(survivors.found_survivors, "postings", "platforms", "date_sources"),
     "p5_quality": _q(survivors.source_quality, "postings", "platforms", "date_sources"),
+    "p6_found": _q(pii.found_mentions, "postings"),
+    "p6_redacted": _q(pii.redacted, "postings"),
     "p8_ids": _q(tokens.token_ids, "documents"),
     "p10_found": _q(subjects.found_subjects, "documents", "subject_labels"),
     "p9_packing": _q(packing.packed, "documents"),

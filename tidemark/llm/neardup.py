@@ -2,14 +2,16 @@
 
 Each distinct word set gets K minhash values. In each of TABLES tables one value routes a set
 to a region, and one bit each of 23 others makes a fingerprint. The anchors are the 4,096 words
-of the binary Golay code, a perfect covering code of radius 3: every fingerprint is at home at
-the one anchor within 3, and is replicated to every anchor within RADIUS + SLACK, so two
-fingerprints that differ in at most SLACK bits always meet at an anchor. Only fingerprints that
-meet are compared: by 128 further minhash bits, then exactly.
+of the binary Golay code, a perfect covering code of radius 3. Every fingerprint is replicated
+to every anchor within RADIUS + SLACK. Two fingerprints that differ in at most 2 * SLACK bits
+always meet: some point lies within SLACK of both, and the anchor within 3 of that point is in
+reach of both. Only fingerprints that meet are compared: by a sketch of 64 minhash
+values, then exactly.
 
 Replication happens inside a region's task, not in the shuffle. Regions above HOT entries are
 cut into parts that are compared pair by pair of parts, so no task grows with a hot word or a
-hot family of texts. Exact copies are one set from the start.
+hot family of texts. Exact copies are one set from the start. Texts are read twice and never
+shuffled: for the signatures of all, and for the words of the candidates.
 """
 
 from __future__ import annotations
@@ -23,23 +25,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.components import components
-from tidemark.storage import stash
+from tidemark.storage import bounded_broadcast, stash
 
 K = 128
 TABLES = 16
 BITS = 23
 RADIUS = 3
-SLACK = 2
+SLACK = 1
 HOT = 20_000
-#: Of the 128 sketch bits, half of (1 - similarity) differ on average: 19 at 0.70 with a deviation of 4.
-SKETCH_CUT = 42
+#: Sketch: four bits each of SKETCH minhash values. At a similarity of 0.70 46 of 64 agree on average
+#: with a deviation of 3.6, and 23 of the first 32 with one of 2.5; the bounds lie four deviations below.
+SKETCH = 64
+LEAST_AGREE = 31
+LEAST_FIRST = 13
 #: Entries whose anchors are worked on at a time.
 CHUNK = 40_000
 PAIRS_AT_ONCE = 4_000_000
+#: Candidate ids up to this many are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the [23, 12] Golay code
 
-ENTRY = "region long, block int, id long, s1 long, s2 long"
-_ENTRY = pa.schema([("region", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+SIGNATURE = "id long, symbols array<int>, blocks array<int>, s1 long, s2 long, s3 long, s4 long"
+_SIGNATURE = pa.schema([("id", pa.int64()), ("symbols", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32())), *[(f"s{i}", pa.int64()) for i in (1, 2, 3, 4)]])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -49,8 +56,8 @@ def words(text: Column) -> Column:
 
 
 @lru_cache(1)
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Syndrome tables (low 12 bits, high 11), nearest-anchor error, and errors up to RADIUS + SLACK by syndrome."""
+def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Syndrome tables (low 12 bits, high 11), and errors up to RADIUS + SLACK by syndrome."""
     syn = np.zeros(BITS, np.int32)
     for i in range(BITS):
         r = 1 << i
@@ -63,30 +70,28 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         for j, i in enumerate(bits):
             out[1 << j : 2 << j] = out[: 1 << j] ^ syn[i]
         return out
-    errors, syndromes, weights = [], [], []
+    errors, syndromes = [], []
     for w in range(RADIUS + SLACK + 1):
         for c in combinations(range(BITS), w):
             e = s = 0
             for i in c:
                 e |= 1 << i
                 s ^= int(syn[i])
-            errors.append(e), syndromes.append(s), weights.append(w)
-    e, s, w = np.array(errors, np.int32), np.array(syndromes), np.array(weights)
-    nearest = np.zeros(2048, np.int32)
-    nearest[s[w <= RADIUS]] = e[w <= RADIUS]
+            errors.append(e), syndromes.append(s)
+    e, s = np.array(errors, np.int32), np.array(syndromes)
     order = np.argsort(s, kind="stable")
     starts = np.searchsorted(s[order], np.arange(2049))
-    return table(range(12)), table(range(12, BITS)), nearest, e[order], starts
+    return table(range(12)), table(range(12, BITS)), e[order], starts
 
 
-def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home anchor of each fingerprint; and (index, anchor) of every anchor within RADIUS + SLACK."""
-    low, high, nearest, errors, starts = _code()
+def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, anchor) of every anchor within RADIUS + SLACK of each fingerprint."""
+    low, high, errors, starts = _code()
     syndrome = low[x & 0xFFF] ^ high[x >> 12]
     counts = starts[syndrome + 1] - starts[syndrome]
     index = np.repeat(np.arange(len(x)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return x ^ nearest[syndrome], index, x[index] ^ errors[starts[syndrome][index] + offset]
+    return index, x[index] ^ errors[starts[syndrome][index] + offset]
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, hashes`` to one entry per table."""
+    """``id, hashes`` to a signature: a routing symbol and a fingerprint per table, and the sketch."""
     a, b, picks = _functions()
     for batch in batches:
         column = batch.column(1)
@@ -107,37 +112,45 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         values = column.flatten().to_numpy().view(np.uint64)
         begins = np.cumsum(sizes) - sizes
-        ids = batch.column(0).to_numpy()
-        low = np.empty((K, len(ids)), np.uint32)
+        n = len(sizes)
+        low = np.empty((K, n), np.uint32)
         for k in range(K):
             low[k] = np.minimum.reduceat(((values * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), begins)
         mixed = low * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
-        top = (mixed >> np.uint32(31)).astype(np.uint64)
-        s1 = sum(top[k] << np.uint64(k) for k in range(64)).view(np.int64)
-        s2 = sum(top[64 + k] << np.uint64(k) for k in range(64)).view(np.int64)
+        nibble = ((mixed >> np.uint32(27)) & np.uint32(15)).astype(np.uint64)
+        sketch = [sum(nibble[16 * i + j] << np.uint64(4 * j) for j in range(16)).view(np.int64) for i in range(SKETCH // 16)]
+        blocks = np.empty((n, TABLES), np.int32)
         for t in range(TABLES):
-            block = sum(((mixed[p] >> np.uint32(t)) & np.uint32(1)) << np.uint32(j) for j, p in enumerate(picks[t]))
-            region = (low[t].astype(np.int64) << 5) | t
-            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(block.astype(np.int32)), pa.array(ids), pa.array(s1), pa.array(s2)], schema=_ENTRY)
+            blocks[:, t] = sum(((mixed[p] >> np.uint32(t)) & np.uint32(1)) << np.uint32(j) for j, p in enumerate(picks[t]))
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * TABLES)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).reshape(-1).view(np.int32))) for v in (low[:TABLES].T, blocks)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *map(pa.array, sketch)], schema=_SIGNATURE)
 
 
-def meet(key: np.ndarray, side: np.ndarray, block: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the sixteen groups of four bits differ."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).astype(np.int16)
+
+
+def meet(key: np.ndarray, side: np.ndarray, block: np.ndarray, ids: np.ndarray, sketch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group ``key`` that meet at an anchor and whose sketches are near.
 
-    ``side`` 2 compares with all of the group; 0 and 1 only with the other side.
+    ``side`` 2 compares with all of the group; 0 and 1 only with the other side. A pair may
+    come out more than once.
     """
-    home, index, anchor = anchors(block)
-    _, group = np.unique(key, return_inverse=True)
-    group = group.astype(np.int64)
-    at = group << BITS | home
+    index, anchor = anchors(block)
+    starts = np.concatenate([[True], key[1:] != key[:-1]])  # entries come sorted by group
+    at = (np.cumsum(starts)[index] << BITS) | anchor
     order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    probe = group[index] << BITS | anchor
-    first, last = np.searchsorted(sorted_at, probe, "left"), np.searchsorted(sorted_at, probe, "right")
-    counts = last - first
-    busy = counts > 0
-    index, first, counts = index[busy], first[busy], counts[busy]
+    at, index = at[order], index[order]
+    head = np.concatenate([[True], at[1:] != at[:-1]])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    counts = np.arange(len(at)) - first  # each entry meets those before it at its anchor
+    near_first = [s[index] for s in sketch[:2]]
     lows, highs = [], []
     total = np.cumsum(counts)
     begin = 0
@@ -145,12 +158,14 @@ def meet(key: np.ndarray, side: np.ndarray, block: np.ndarray, ids: np.ndarray,
         done = total[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(total, done + PAIRS_AT_ONCE, "right")))
         n = counts[begin:end]
-        y = np.repeat(index[begin:end], n)
-        x = order[np.repeat(first[begin:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        keep = (ids[x] < ids[y]) & ((side[x] == 2) | (side[x] != side[y]))
-        x, y = x[keep], y[keep]
-        near = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int16) + np.bitwise_count(s2[x] ^ s2[y]) <= SKETCH_CUT
-        lows.append(ids[x[near]]), highs.append(ids[y[near]])
+        y = np.repeat(np.arange(begin, end), n)
+        x = np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near = sum(_differ(s[x], s[y]) for s in near_first) <= SKETCH // 2 - LEAST_FIRST
+        x, y = index[x[near]], index[y[near]]
+        near = sum(_differ(s[x], s[y]) for s in sketch) <= SKETCH - LEAST_AGREE
+        near &= (side[x] == 2) | (side[x] != side[y])
+        x, y = ids[x[near]], ids[y[near]]
+        lows.append(np.minimum(x, y)), highs.append(np.maximum(x, y))
         begin = end
     return (np.concatenate(lows), np.concatenate(highs)) if lows else (ids[:0], ids[:0])
 
@@ -163,7 +178,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows:
             c = {n: table.column(n).to_numpy() for n in table.column_names}
-            a, b = meet(c["key"], c["side"], c["block"], c["id"], c["s1"].view(np.uint64), c["s2"].view(np.uint64))
+            a, b = meet(c["key"], c["side"], c["block"], c["id"], [c[f"s{i}"].view(np.uint64) for i in (1, 2, 3, 4)])
             if len(a):
                 yield from pa.table({"a": a, "b": b}, schema=_PAIR).to_batches(max_chunksize=100_000)
 
@@ -182,21 +197,47 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(held))
 
 
-def word_sets(postings: DataFrame, least_words: int) -> DataFrame:
-    """``(posting_no, rep, hashes)``: distinct words as sorted 64-bit hashes; rows of one set share ``rep``."""
-    blank = F.lit("")
-    text = F.concat_ws(" ", F.coalesce("title", blank), F.coalesce("company", blank), F.coalesce("description", blank))
-    enough = F.size(words(F.col("description"))) >= least_words
-    hashes = F.sort_array(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w)))
-    sets = postings.select("posting_no", "title", "company", "description").where(F.col("posting_no").isNotNull() & F.col("description").isNotNull() & enough)
-    sets = stash(sets.select("posting_no", hashes.alias("hashes")).withColumn("h1", F.xxhash64("hashes")).withColumn("h2", F.xxhash64(F.lit(7), "hashes")), "word-sets")
-    same = sets.groupBy("h1", "h2").agg(F.min("posting_no").alias("rep"))
-    return sets.join(same, ["h1", "h2"]).select("posting_no", "rep", "hashes")
+def eligible(postings: DataFrame, least_words: int) -> DataFrame:
+    """``(posting_no, hashes)`` of the rows with enough words of description.
+
+    ``hashes`` are the distinct words of title, company and description as sorted 64-bit hashes.
+    explode(array(x)) keeps the filter from splitting the description a second time.
+    """
+    rows = postings.where(F.col("posting_no").isNotNull() & F.col("description").isNotNull())
+    rows = rows.select("posting_no", F.concat_ws(" ", "title", "company").alias("head"), F.explode(F.array(words(F.col("description")))).alias("body"))
+    every = F.array_distinct(F.concat(words(F.col("head")), F.col("body")))
+    return rows.where(F.size("body") >= least_words).select("posting_no", F.sort_array(F.transform(every, lambda w: F.xxhash64(w))).alias("hashes"))
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership ``(posting_no, rep)`` and one signature per class of exact copies.
+
+    Equal word sets have equal signatures; the class is named by two independent hashes of the
+    set. Copies are combined before the shuffle, so a text that a third of all rows share is
+    one row per task.
+    """
+    hashed = rows.select("posting_no", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes").alias("h2"), "hashes")
+    members = stash(hashed.select(F.col("posting_no").alias("id"), "h1", "h2", "hashes").mapInArrow(_sign_kept, f"{SIGNATURE}, h1 long, h2 long"), "signatures")
+    reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.any_value(c).alias(c) for c in ("symbols", "blocks", "s1", "s2", "s3", "s4")])
+    reps = stash(reps, "classes")
+    membership = members.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("posting_no"), "rep")
+    return stash(membership, "members"), reps.select(F.col("rep").alias("id"), "symbols", "blocks", "s1", "s2", "s3", "s4")
+
+
+def _sign_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_sign``, with the class hashes passed through."""
+    for batch in batches:
+        narrow = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["id", "hashes"])
+        for signed in _sign(iter([narrow])):
+            yield pa.RecordBatch.from_arrays([*signed.columns, batch.column(1), batch.column(2)], names=[*_SIGNATURE.names, "h1", "h2"])
 
 
-def similar_sets(sets: DataFrame, share: float) -> DataFrame:
-    """``(a, b)``, a < b, of ``id, hashes``: sets whose words in both are at least ``share`` of the words in either."""
-    entries = stash(sets.select("id", "hashes").mapInArrow(_sign, ENTRY), "entries")
+def candidates(signatures: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: sets that meet at an anchor of some table and whose sketches are near."""
+    tables = F.arrays_zip(F.col("symbols"), F.col("blocks"), F.sequence(F.lit(0), F.lit(TABLES - 1)).alias("t"))
+    entries = signatures.select("id", "s1", "s2", "s3", "s4", F.explode(tables).alias("e")).select(
+        F.xxhash64("e.t", "e.symbols").alias("region"), F.col("e.blocks").alias("block"), "id", "s1", "s2", "s3", "s4"
+    )
     hot = entries.groupBy("region").count().where(F.col("count") > HOT).select("region", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
     one = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -208,12 +249,18 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     )
     placed = entries.join(hot, "region", "left").select("*", F.explode(F.when(F.col("parts").isNull(), F.array(one)).otherwise(spread)).alias("p"))
     key = F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", "p.i", "p.j"))
-    placed = placed.select(key.alias("key"), F.col("p.side").alias("side"), "block", "id", "s1", "s2")
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.select(key.alias("key"), F.col("p.side").cast("tinyint").alias("side"), "block", "id", "s1", "s2", "s3", "s4")
+    n = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = placed.repartition(n, "key").sortWithinPartitions("key")
-    pairs = stash(grouped.mapInArrow(_compare, "a long, b long").distinct(), "pairs")
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    return grouped.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def similar_classes(postings: DataFrame, signatures: DataFrame, share: float, least_words: int) -> DataFrame:
+    """``(a, b)``, a < b: classes whose words in both are at least ``share`` of the words in either."""
+    pairs = stash(candidates(signatures), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("posting_no")).distinct()
+    hashed = stash(eligible(postings.join(bounded_broadcast(wanted, BROADCAST_ROWS), "posting_no", "left_semi"), least_words), "words")
+    left, right = (hashed.select(F.col("posting_no").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb"))
     either = F.size("ha") + F.size("hb") - both
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(share) * either - 1e-9).select("a", "b")
@@ -225,25 +272,23 @@ def found_reposts(postings: DataFrame, share: float = 0.70, least_words: int = 4
     Rows with a null description or one of fewer than ``least_words`` words are left out; null
     titles and companies count as empty; an empty table gives an empty result.
     """
-    rows = stash(word_sets(postings, least_words), "rows")
-    members = rows.select("posting_no", "rep")
-    sets = rows.where("posting_no = rep").select(F.col("rep").alias("id"), "hashes")
-    pairs = similar_sets(sets, share)
+    members, signatures = classes(eligible(postings, least_words))
+    pairs = similar_classes(postings, signatures, share, least_words)
     a = members.select(F.col("rep").alias("a"), F.col("posting_no").alias("x"))
     b = members.select(F.col("rep").alias("b"), F.col("posting_no").alias("y"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
     copies = members.alias("m").join(members.alias("n"), (F.col("m.rep") == F.col("n.rep")) & (F.col("m.posting_no") < F.col("n.posting_no")))
     within = copies.select(F.col("m.posting_no").alias("x"), F.col("n.posting_no").alias("y"))
-    rows_out = across.unionByName(within)
-    return rows_out.select(F.least("x", "y").alias("posting_no_a"), F.greatest("x", "y").alias("posting_no_b"))
+    found = across.unionByName(within)
+    return found.select(F.least("x", "y").alias("posting_no_a"), F.greatest("x", "y").alias("posting_no_b"))
 
 
 def repost_groups(postings: DataFrame, share: float = 0.70, least_words: int = 40) -> DataFrame:
     """``(posting_no, class_id, group_id, links)``: exact-copy class, near-duplicate group and linked classes of each row."""
-    rows = stash(word_sets(postings, least_words), "rows")
-    pairs = stash(similar_sets(rows.where("posting_no = rep").select(F.col("rep").alias("id"), "hashes"), share), "class-pairs")
+    members, signatures = classes(eligible(postings, least_words))
+    pairs = stash(similar_classes(postings, signatures, share, least_words), "class-pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     roots = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")), "reposts").withColumnsRenamed({"member": "rep", "root": "group_id"})
-    return rows.select("posting_no", "rep").join(links, "rep", "left").join(roots, "rep", "left").select(
+    return members.join(links, "rep", "left").join(roots, "rep", "left").select(
         "posting_no", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links")
     )

@@ -178,7 +178,8 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
             if not c:
                 continue
             last, stop = c[0], c.end()
-        if re.fullmatch(r"[A-Z]\.", first) and a.start() and re.search(r"[A-Z][a-z]+ $", text[max(0, a.start() - 12) : a.start()]):
+        before = re.search(r"([A-Z][a-z]+) $", text[max(0, a.start() - 12) : a.start()]) if first[1:] == "." else None
+        if before and before[1].lower() not in _TITLES:
             continue  # the initial belongs to the name before it
         f, s = first.lower(), last.lower()
         if f in firm or s in firm or f in _TITLES:
@@ -360,9 +361,16 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def fitted(postings: DataFrame) -> dict[str, float]:
-    """Weights from a sample of at most ``SAMPLE`` rows, chosen by a hash of their number."""
-    some = postings.where(F.col("description").isNotNull() | F.col("recruiter_email").isNotNull())
-    rows = some.select("company", *FIELDS).orderBy(F.xxhash64("posting_no"), "posting_no").limit(SAMPLE).collect()
+    """Weights from a sample of at most ``SAMPLE`` rows, chosen by a hash of their number.
+
+    The hash first thins the table to about twice the sample, so what the tasks send is bounded
+    whatever the number of rows.
+    """
+    some = postings.where(F.col("posting_no").isNotNull())
+    thin = max(1, some.count() // (2 * SAMPLE))
+    chance = F.xxhash64(F.lit("sample"), "posting_no")
+    picked = some.where(F.pmod(chance, F.lit(thin)) == 0).select("posting_no", "company", *FIELDS, chance.alias("chance"))
+    rows = picked.orderBy("chance", "posting_no").limit(SAMPLE).collect()
     return train([(f, r[f], r["company"]) for r in rows for f in FIELDS if r[f]])
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.canonical import PLAIN
-from tidemark.storage import stash
+from tidemark.storage import bounded_broadcast, stash
 
 Z = 1.2
 LEAST = 0.4
@@ -89,11 +89,6 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "phrases"])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a model table after counting it; leave a large one to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def strengths(weights: DataFrame) -> DataFrame:
     """``(phrase, subject, weight)`` to ``(phrase, total, subject, strength)``; strength 0 carries nothing."""
     t = weights.groupBy("phrase").agg(F.sum("weight").alias("n"), F.max(F.struct("weight", "subject")).alias("top"))
@@ -112,12 +107,12 @@ def _weights(table: DataFrame, labels: DataFrame) -> DataFrame:
 def _sentence_subjects(table: DataFrame, model: DataFrame, cues: DataFrame | None, keep: float) -> DataFrame:
     """``(doc_id, n, subject)``: the strongest subject of each sentence that has one and no cue."""
     long = table.select("doc_id", "n", F.explode("phrases").alias("phrase"))
-    hits = long.join(_small(model.select("phrase", "subject", "strength")), "phrase")
+    hits = long.join(bounded_broadcast(model.select("phrase", "subject", "strength"), BROADCAST_ROWS), "phrase")
     scores = hits.groupBy("doc_id", "n", "subject").agg(F.sum(F.col("strength") * F.col("strength")).alias("score"))
     best = scores.groupBy("doc_id", "n").agg(F.max(F.struct("score", "subject")).alias("best")).where(F.col("best.score") > keep)
     best = best.select("doc_id", "n", F.col("best.subject").alias("subject"))
     if cues is not None:
-        marked = long.join(_small(cues), "phrase", "left_semi").select("doc_id", "n").distinct()
+        marked = long.join(bounded_broadcast(cues, BROADCAST_ROWS), "phrase", "left_semi").select("doc_id", "n").distinct()
         best = best.join(marked, ["doc_id", "n"], "left_anti")
     return best
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators import pay, times
+from tidemark.plans import reference_queries
 from tidemark.storage import table
 
 
@@ -15,4 +16,6 @@ QUERIES = {
     "p7_found": _q(pay.found_pay, "postings", "platforms", "pay_units"),
 }
 
-SQL: dict[str, str] = {}
+QUERIES |= reference_queries.QUERIES
+
+SQL: dict[str, str] = dict(reference_queries.SQL)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
@@ -34,6 +35,8 @@ class Snapshots:
         stream = self.fs.open(self._path("CURRENT"))
         try:
             text = bytes(stream.readAllBytes()).decode().strip()
+        except (Py4JJavaError, UnicodeDecodeError) as error:
+            raise StateError(f"{self.base}: the pointer cannot be read") from error
         finally:
             stream.close()
         if not text.isdigit() or not self.fs.exists(self._path(f"v={text}")):

@@ -70,23 +70,34 @@ def sentences(text: str) -> Iterator[list[str]]:
             yield words
 
 
+#: Documents per output batch, so that a task's lists stay small.
+SLICE = 300
+TABLE = "doc_id long, n int, phrases array<long>, fresh array<long>"
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, text`` to one row per sentence with its distinct phrases as 64-bit hashes."""
+    """``doc_id, text`` to one row per sentence: its distinct phrases as 64-bit hashes, and those
+    that no earlier sentence of the document has."""
     known: dict[str, int] = {}
     for batch in batches:
-        docs, numbers, lists = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for i, words in enumerate(sentences(text or "")):
-                out = set()
-                for p in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
-                    h = known.get(p)
-                    if h is None:
-                        h = xxhash.xxh3_64_intdigest(p) - (1 << 63)
-                        if len(known) < 500_000:
-                            known[p] = h
-                    out.add(h)
-                docs.append(doc), numbers.append(i), lists.append(list(out))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "phrases"])
+        for at in range(0, batch.num_rows, SLICE):
+            docs, numbers, lists, firsts = [], [], [], []
+            part = batch.slice(at, SLICE)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                before: set[int] = set()
+                for i, words in enumerate(sentences(text or "")):
+                    out = set()
+                    for p in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
+                        h = known.get(p)
+                        if h is None:
+                            h = xxhash.xxh3_64_intdigest(p) - (1 << 63)
+                            if len(known) < 100_000:
+                                known[p] = h
+                        out.add(h)
+                    docs.append(doc), numbers.append(i), lists.append(list(out)), firsts.append(list(out - before))
+                    before |= out
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lists, kind), pa.array(firsts, kind)], names=["doc_id", "n", "phrases", "fresh"])
 
 
 def strengths(weights: DataFrame) -> DataFrame:
@@ -98,9 +109,11 @@ def strengths(weights: DataFrame) -> DataFrame:
     return t.select("phrase", F.col("n").alias("total"), F.col("top.subject").alias("subject"), strength.alias("strength"))
 
 
-def _weights(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled weight of each phrase by subject: each document counts a phrase once."""
-    docs = table.join(labels, "doc_id").select("doc_id", "subject", "weight", F.explode("phrases").alias("phrase")).distinct()
+def _weights(table: DataFrame, labels: DataFrame, barred: DataFrame | None = None) -> DataFrame:
+    """Labelled weight of each phrase by subject: each document counts a phrase once. One shuffle, after partial sums."""
+    docs = table.join(labels, "doc_id").select("subject", "weight", F.explode("fresh").alias("phrase"))
+    if barred is not None:
+        docs = docs.join(bounded_broadcast(barred, BROADCAST_ROWS), "phrase", "left_anti")
     return docs.groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
 
 
@@ -130,7 +143,7 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
     Null, empty and blank texts, and texts that are about none of the subjects, give no row;
     without labels nothing can be learned and the result is empty.
     """
-    table = stash(documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(_phrases, "doc_id long, n int, phrases array<long>"), "sentences")
+    table = stash(documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(_phrases, TABLE), "sentences")
     seeds = subject_labels.select("doc_id", "subject").dropna().distinct()
     size: Column = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     seeds = stash(seeds.withColumn("weight", 1 / size), "seeds")
@@ -153,9 +166,9 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
         held = held.where(F.col("most") >= SURE).join(seeds.select("doc_id").distinct(), "doc_id", "left_anti")
         total = F.sum("count").over(Window.partitionBy("doc_id"))
         passed_on = held.select("doc_id", "subject", (F.col("count") / total).alias("weight"))
-        spread = _weights(table, seeds.unionByName(passed_on))
+        spread = _weights(table, seeds.unionByName(passed_on), barred)
         known = model.select("phrase", F.lit(True).alias("known"))
-        grown = strengths(spread).where("strength > 0").join(barred, "phrase", "left_anti").join(known, "phrase", "left")
+        grown = strengths(spread).where("strength > 0").join(known, "phrase", "left")
         model = stash(grown.where(F.col("known").isNotNull() | (F.col("strength") > NEW_STRENGTH)).drop("known"), "model")
     found = _document_subjects(_sentence_subjects(table, model, cues, 0.02))
     return found.join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject")

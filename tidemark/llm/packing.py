@@ -141,4 +141,4 @@ def packing_report(documents: DataFrame, vocabulary: str = VOCABULARY, capacity:
         F.countDistinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("pieces")
     )
     least = F.ceil(F.col("tokens") / capacity)
-    return whole.select("*", least.alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * capacity), 4).alias("filled"))
+    return whole.select("*", least.alias("least_containers"), F.round(F.try_divide(F.col("tokens"), F.col("containers") * capacity), 4).alias("filled"))

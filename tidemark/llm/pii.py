@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Rows that the weights are trained on.
-SAMPLE = 3000
-EPOCHS = 4
+SAMPLE = 6000
+EPOCHS = 8
 SWEEPS = 4
 #: A candidate whose own score is below minus this is outside whatever its neighbours are.
 CERTAIN = 6.0
@@ -182,10 +182,11 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
         if before and before[1].lower() not in _TITLES:
             continue  # the initial belongs to the name before it
         f, s = first.lower(), last.lower()
-        if f in firm or s in firm or f in _TITLES:
-            continue
+        if f in _TITLES or (f in firm and s in firm):
+            continue  # a form of address, or the company itself
         upper = first.isupper() and last.isupper() and len(first) > 2
-        features = ["m", f"m:first={f}", f"m:last3={s[-3:]}", f"m:last={s}", f"m:initial={first[1:] == '.'}", f"m:upper={upper}", f"m:mid={middle or len(gap) > 1}", f"m:field={field == 'recruiter_email'}"]
+        shout = upper and not any(x.islower() for x in text[max(0, a.start() - 16) : a.start()] + text[stop : stop + 16])
+        features = ["m", f"m:first={f}", f"m:last3={s[-3:]}", f"m:initial={first[1:] == '.'}", f"m:upper={upper}{shout}", f"m:mid={middle or len(gap) > 1}", f"m:firm={f in firm}{s in firm}", f"m:field={field == 'recruiter_email'}"]
         nodes.append(Node(a.start(), stop, (OUT, "person_name"), features + _around(text, a.start(), stop, "m"), (s, f"{f} {s}")))
     nodes.sort(key=lambda n: (n.start, -n.end))
     return nodes

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from tidemark.llm import canonical, forest, neardup, packing, pii, subjects, survivors, tokens
+from tidemark.llm.sql import SQL
 from tidemark.storage import table
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def _q(build, *tables):
     return lambda spark, sf_dir: build(*[table(spark, sf_dir, t) for t in tables])
@@ -24,5 +27,3 @@ QUERIES = {
     "p9_packing": _q(packing.packed, "documents"),
     "p9_report": _q(packing.packing_report, "documents"),
 }
-
-SQL: dict[str, str] = {}

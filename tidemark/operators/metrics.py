@@ -78,3 +78,16 @@ def agreement(rows: DataFrame, expected: Column, actual: Column, positive: str)
         F.count(F.lit(1)).alias("cases"), F.round(F.try_divide(F.count_if(expected == actual), F.count(F.lit(1))), 4).alias("agreement"),
         F.round(F.try_divide(tp, F.count_if(actual == positive)), 4).alias("precision"), F.round(F.try_divide(tp, F.count_if(expected == positive)), 4).alias("recall"),
     )
+
+
+def assessment(outcomes: DataFrame, run: str, ignored: dict[str, list[str]]) -> DataFrame:
+    """``(run, state, reasons)``: failed if nothing worked, degraded if a counted source didn't, else ok.
+
+    ``ignored`` maps a column to values whose failures don't count (a site, a phase).
+    """
+    counted = F.lit(True)
+    for column, values in ignored.items():
+        counted = counted & ~F.coalesce(F.col(column).isin(*values), F.lit(False))
+    good, bad = F.col("status").isin(*GOOD), ~F.col("status").isin(*GOOD, "skipped")
+    a = outcomes.groupBy(run).agg(F.bool_or(good).alias("g"), F.sort_array(F.collect_set(F.when(bad & counted, F.concat_ws(":", "site", "status")))).alias("reasons"))
+    return a.select(run, F.when(~F.col("g"), "failed").when(F.size("reasons") > 0, "degraded").otherwise("ok").alias("state"), "reasons")

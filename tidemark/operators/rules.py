@@ -68,3 +68,35 @@ def tier_rank(tier: Column) -> Column:
 def share_score(met: Column, total: Column, points: int) -> Column:
     """``points`` in proportion, half to even; nothing asked gives nothing."""
     return F.when(total > 0, F.bround(met * F.lit(float(points)) / total)).otherwise(0).cast("int")
+
+
+def groups_met(groups: Column, known: Column) -> Column:
+    """How many of the groups of alternatives (array of arrays) share a value with ``known``; null groups count as none."""
+    return F.size(F.filter(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: F.arrays_overlap(g, known)))
+
+
+def any_sentence(text: Column, needs: str, without: str | None = None) -> Column:
+    """How many sentences match ``needs`` and don't match ``without``; null texts have none."""
+    sentences = F.split(F.coalesce(F.lower(text), F.lit("")), r"(?<=[.!?])\s+|[\n;]")
+    hit = lambda s: s.rlike(needs) if without is None else s.rlike(needs) & ~s.rlike(without)
+    return F.size(F.filter(sentences, hit))
+
+
+def freshness(posted: Column, expires: Column, now: Column, days: int) -> Column:
+    """closed, stale, future, unknown or fresh; more than a day ahead counts as future."""
+    return (
+        F.when(expires < now, "closed").when(posted.isNull(), "unknown").when(posted > now + F.expr("interval 1 day"), "future")
+        .when(posted < now - F.expr(f"interval {days} days"), "stale").otherwise("fresh")
+    )
+
+
+def single_code(text: Column, codes: list[str]) -> Column:
+    """The one code that a text names; null if it names none or several."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(codes)})\b"), F.lit(1)), F.upper))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def first_contact(text: Column, unless: str) -> Column:
+    """The first e-mail address of a text that doesn't match ``unless``."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1))
+    return F.get(F.filter(found, lambda x: ~x.rlike(unless)), F.lit(0))

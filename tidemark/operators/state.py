@@ -100,3 +100,27 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     counted = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in checks]))
     return counted.select(pairs.alias("x")).select("x.rule", "x.violations")
+
+
+def next_status(status: Column, outcome: Column, attempts: Column, most: int) -> Column:
+    """Where an item goes after an attempt: done, closed, exhausted or pending; final states stay."""
+    return (
+        F.when(status.isin("done", "closed", "exhausted"), status).when(outcome == "success", "done").when(outcome == "gone", "closed")
+        .when(attempts >= most, "exhausted").otherwise("pending")
+    )
+
+
+def build_queue(queue: DataFrame, cards: DataFrame, key: str, now: Column, retention_hours: int, most_attempts: int, keep: int) -> DataFrame:
+    """The next queue: expired and irrelevant entries out, exhausted ones marked, new cards in, the best ``keep`` by priority.
+
+    ``queue`` has ``key, attempts, priority, queued_at``; ``cards`` has ``key, priority, relevant``.
+    A card refreshes its entry's priority; one that isn't relevant removes it.
+    """
+    held = queue.where(F.unix_micros(now) - F.unix_micros("queued_at") < retention_hours * 3600 * 1_000_000)
+    c = cards.select(key, F.col("priority").alias("__p"), F.col("relevant").alias("__r"))
+    joined = held.join(c, key, "full_outer").where(F.coalesce("__r", F.lit(True)))
+    merged = joined.select(
+        key, F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("__p", "priority").alias("priority"), F.coalesce("queued_at", now).alias("queued_at"),
+        F.when(F.coalesce("attempts", F.lit(0)) >= most_attempts, "exhausted").otherwise("pending").alias("status"),
+    )
+    return merged.orderBy("priority", "queued_at", key).limit(keep)

@@ -659,3 +659,107 @@ def set_ops(p, d, labels):
     a, b = d.select("job_id"), labels.select("job_id")
     part = lambda name, rows: rows.select(F.lit(name).alias("part"), "job_id")
     return part("both", a.intersect(b)).unionByName(part("labels_only", b.subtract(a))).unionByName(part("never_sent", p.select("job_id").where("job_id is not null").subtract(a)))
+
+
+# --- sentence, freshness and code predicates ------------------------------------------------------
+
+
+@query(
+    "q_sentence_flags", "postings",
+    sql=r"""select posting_no, len(list_filter(string_split_regex(regexp_replace(coalesce(lower(description), ''), '([.!?])\s+', '\1' || chr(10), 'g'), '[\n;]'), lambda s: regexp_matches(s, '\b(?:required|minimum|must)\b') and not regexp_matches(s, '\bbonus\b')))::integer as demands from postings""",
+)
+def sentence_flags(p):
+    return p.select("posting_no", rules.any_sentence(F.col("description"), r"\b(?:required|minimum|must)\b", r"\bbonus\b").alias("demands"))
+
+
+#: Example groups of alternatives.
+GROUPS = [["sql", "go"], ["ci"], ["triage", "espresso"]]
+
+
+@query(
+    "q_required_groups", "postings",
+    sql="with t as (select posting_no, list_filter([" + ", ".join(f"case when regexp_matches(lower(description), '(^|[^a-z0-9])(?:{'|'.join(a)})([^a-z0-9]|$)') then '{n}' end" for n, a in sorted(TERMS.items())) + "], lambda x: x is not null) as known from postings where description is not null) select posting_no, (" + " + ".join(f"list_has_any(known, {g})::integer" for g in GROUPS) + ") as met from t",
+)
+def required_groups(p):
+    rows = p.where("description is not null").select("posting_no", text.terms_in(F.lower("description"), TERMS).alias("known"))
+    groups = F.array(*[F.array(*[F.lit(x) for x in g]) for g in GROUPS])
+    return rows.select("posting_no", rules.groups_met(groups, F.col("known")).alias("met"))
+
+
+@query(
+    "q_freshness", "postings",
+    sql=f"""select posting_no, case when epoch_us(last_seen_at) < {_NOW_US} - 150*86400*1000000::bigint then 'closed' when captured_at is null then 'unknown' when epoch_us(captured_at) > {_NOW_US} + 86400*1000000::bigint then 'future'
+    when epoch_us(captured_at) < {_NOW_US} - 90*86400*1000000::bigint then 'stale' else 'fresh' end as freshness from postings""",
+)
+def freshness(p):
+    return p.select("posting_no", rules.freshness(F.col("captured_at"), F.col("last_seen_at") + F.expr("interval 150 days"), _now(), 90).alias("freshness"))
+
+
+@query(
+    "q_currency_codes", "postings",
+    sql=r"with t as (select posting_no, list_distinct(list_transform(regexp_extract_all(salary_text, '\b(USD|EUR|GBP|INR|PKR|AUD|CAD|AED|usd|eur|gbp|inr|pkr|aud|cad|aed)\b', 1), lambda x: upper(x))) as c from postings where salary_text is not null) select posting_no, case when len(c) = 1 then c[1] end as code from t",
+)
+def currency_codes(p):
+    codes = "USD EUR GBP INR PKR AUD CAD AED".split()
+    return p.where("salary_text is not null").select("posting_no", rules.single_code(F.col("salary_text"), codes + [c.lower() for c in codes]).alias("code"))
+
+
+@query(
+    "q_first_contact", "postings",
+    sql=r"select posting_no, list_filter(regexp_extract_all(description, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), lambda x: not regexp_matches(x, '^jobs@'))[1] as contact from postings where description is not null",
+)
+def first_contact(p):
+    return p.where("description is not null").select("posting_no", rules.first_contact(F.col("description"), "^jobs@").alias("contact"))
+
+
+# --- more state and health ------------------------------------------------------------------------
+
+
+@query(
+    "q_attempt_machine", "deliveries",
+    sql="select job_id, message_id, attempts, case when status = 'delivered' then 'done' when reason = 'http_500' then 'closed' when attempts >= 3 then 'exhausted' else 'pending' end as next from (select distinct * from deliveries)",
+)
+def attempt_machine(d):
+    outcome = F.when(F.col("status") == "delivered", "success").when(F.col("reason") == "http_500", "gone").otherwise("failed")
+    return d.distinct().select("job_id", "message_id", "attempts", state.next_status(F.lit("pending"), outcome, F.col("attempts"), 3).alias("next"))
+
+
+@query(
+    "q_queue_build", "deliveries", "postings",
+    sql=f"""with q as (select job_id, max(attempts) as attempts, min(epoch_us(attempted_at)) as queued_us from deliveries group by job_id), c as (select job_id, min(posting_no) % 5 as p, bool_or(active_status = 'active') as r from postings where job_id is not null group by job_id),
+    h as (select * from q where {_NOW_US} - queued_us < 1440*3600*1000000::bigint), j as (select coalesce(h.job_id, c.job_id) as job_id, coalesce(attempts, 0) as attempts, coalesce(p, 3) as priority, coalesce(queued_us, {_NOW_US}) as queued_us from h full join c on h.job_id = c.job_id where coalesce(r, true))
+    select job_id, case when attempts >= 3 then 'exhausted' else 'pending' end as status, priority::bigint as priority from j order by priority, queued_us, job_id limit 500""",
+)
+def queue_build(d, p):
+    queue = d.groupBy("job_id").agg(F.max("attempts").alias("attempts"), F.min("attempted_at").alias("queued_at")).withColumn("priority", F.lit(3).cast("bigint"))
+    cards = p.where("job_id is not null").groupBy("job_id").agg((F.min("posting_no") % 5).alias("priority"), F.bool_or(F.col("active_status") == "active").alias("relevant"))
+    return state.build_queue(queue, cards, "job_id", _now(), 1440, 3, 500).select("job_id", "status", "priority")
+
+
+@query(
+    "q_assessment", "query_outcomes",
+    sql=f"""select run_id, case when not bool_or({_GOOD}) then 'failed' when count(*) filter (status not in ('success','valid_empty','skipped') and phase <> 'detail') > 0 then 'degraded' else 'ok' end as state,
+    array_to_string(list_sort(list(distinct site || ':' || status) filter (status not in ('success','valid_empty','skipped') and phase <> 'detail')), ',') as reasons from {_OUT} group by run_id""",
+)
+def assessment(o):
+    a = metrics.assessment(o.distinct(), "run_id", {"phase": ["detail"]})
+    return a.select("run_id", "state", F.when(F.size("reasons") > 0, F.array_join("reasons", ",")).alias("reasons"))
+
+
+@query(
+    "q_write_back", "postings", "feedback_labels",
+    sql="select posting_no, query_id, search_track, coalesce(label, active_status) as active_status from postings left join feedback_labels using (job_id)",
+)
+def write_back(p, labels):
+    rows = p.select("posting_no", "job_id", "query_id", "search_track", "active_status")
+    return identity.write_back(rows, labels.select("job_id", F.col("label").alias("active_status")), "job_id", ["active_status"]).drop("job_id")
+
+
+@query(
+    "q_merge_delivery", "deliveries", "seen_identities",
+    sql=f"""with p as (select * from {_LATEST} where status <> 'delivered'), acked as (select identity from seen_identities where seen_at > 1768000000) select job_id, status, attempts from p where job_id not in (select identity from acked)""",
+)
+def merge_delivery(d, seen):
+    pending = _latest_deliveries(d).where("status <> 'delivered'")
+    acked = seen.where("seen_at > 1768000000").select(F.col("identity").alias("job_id")).distinct()
+    return pending.join(acked, "job_id", "left_anti")

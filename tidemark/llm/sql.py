@@ -27,4 +27,17 @@ REPOSTS = r"""with d as (select posting_no, list_distinct(regexp_extract_all(low
  c as (select x.posting_no as a, y.posting_no as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as shared from w x join w y on x.word = y.word and x.posting_no < y.posting_no group by all)
  select a as posting_no_a, b as posting_no_b from c where shared >= 0.7 * (na + nb - shared) - 1e-9"""
 
-SQL = {"p2_found": LISTINGS, "p3_found": REPOSTS}
+_GROUPED = LISTINGS.rsplit("\n", 1)[0]
+
+SURVIVORS = rf"""{_GROUPED},
+ members as (select a as posting_no, root as g from roots union select root, root from roots),
+ rows as (select m.g, p.*, case description_status when 'full' then 4 when 'snippet' then 3 when 'fetch_failed' then 2 when 'missing' then 1 else 0 end as st, length(coalesce(description, '')) as sz,
+  regexp_matches(coalesce(posted_at, ''), '\d') and not regexp_matches(posted_at, '^0000|\+ days ago') as dated, coalesce(t.trust_rank, (select trust_rank from date_sources where date_source = 'unknown')) as tr
+  from members m join postings p using (posting_no) left join date_sources t on t.date_source = coalesce(p.date_source, 'unknown')),
+ d as (select g, arg_max(posting_no, (st, sz, last_seen_at, posting_no)) as no, arg_max(sz, (st, sz, last_seen_at, posting_no)) as sz from rows group by g),
+ t as (select g, arg_max(posting_no, (-tr, last_seen_at, posting_no)) as no from rows where dated group by g)
+ select g as accepted_no, 'description' as field, no::varchar as surviving from d where sz > 0 union all select g, 'posted_at', no::varchar from t union all
+ select distinct g, 'alias', key from members join ids using (posting_no) where key is not null and key not in ({_HELD}) union all
+ select distinct g, 'source_url', u from (select g, unnest(source_urls) as u from rows) where u is not null"""
+
+SQL = {"p2_found": LISTINGS, "p3_found": REPOSTS, "p5_found": SURVIVORS}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators import pay, times
-from tidemark.plans import reference_queries
+from tidemark.plans import reference_queries, times_sql
 from tidemark.storage import table
 
 
@@ -18,4 +18,4 @@ QUERIES = {
 
 QUERIES |= reference_queries.QUERIES
 
-SQL: dict[str, str] = dict(reference_queries.SQL)
+SQL: dict[str, str] = {"p1_found": times_sql.FOUND} | reference_queries.SQL

@@ -28,7 +28,8 @@ def units(spark, rows=UNITS):
         ("figures in '000, yearly", "GBP", (None, None, 1000.0, None, "year")),
         ("USD cents, hourly", "USD", (None, None, 0.01, "USD", "hour")),
         ("Pay is given per month", "USD", (None, None, None, None, "month")),
-        ("Grade 7", "USD", (7, 7, None, None, None)),
+        ("Grade 7", "USD", (None, None, None, None, None)),
+        ("13 salaries a year", "USD", (None, None, None, None, "year")),
         ("negotiable", "USD", (None, None, None, None, None)),
     ],
 )

@@ -51,6 +51,9 @@ AMOUNT = re.compile(
     rf"(?P<num>{_NUM})(?:\s?(?P<scale>lakhs?|lacs?|lpa|crores?|cr|thousands?|tsd|million|mn|k|l|m)(?![^\W_]|\.?\w))?(?P<plus>\s?\+)?",
     re.I,
 )
+# Words around a number that make it a count or a grade, not an amount.
+_NOT_PAY_AFTER = re.compile(r"\s?(?:salaries|months? salar|days?\b|hours?\b(?! )|weeks? of|years? of|positions?|vacanc|openings?|%|percent)")
+_NOT_PAY_BEFORE = re.compile(r"(?:grade|level|band|step|tier|class)\s*$")
 _SCALE_WORD = re.compile(r"(?<![\w'’])(?:in |\()?(full units|thousands?|'000|’000|000s|lakhs?|lacs?|crores?|cents?|¢|k|tsd)(?![\w])", re.I)
 
 
@@ -109,7 +112,9 @@ def read_pay(text: str, home: str | None) -> tuple[float | None, float | None, f
     if not spans:
         remark = _SCALE_WORD.search(low)
         return None, None, SCALES[remark[1].lower()] if remark else None, code, unit
-    spans = spans[:2]
+    spans = [m for m in spans if not _NOT_PAY_AFTER.match(low, m.end()) and not _NOT_PAY_BEFORE.search(low, 0, m.start())][:2]
+    if not spans:
+        return None, None, None, code, unit
     scales = [SCALES.get((m["scale"] or "").lower()) for m in spans]
     values = [number(m["num"], s is not None) for m, s in zip(spans, scales)]
     if None in values:

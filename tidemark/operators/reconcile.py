@@ -67,5 +67,5 @@ def grow_only(snapshots: list[DataFrame], key: str, at: str, horizon_days: int)
     for s in snapshots[1:]:
         united = united.unionByName(s)
     merged = united.groupBy(key).agg(F.max(at).alias(at))
-    last = merged.agg(F.max(at).alias("__last"))
-    return merged.join(F.broadcast(last)).where(F.col(at) >= F.col("__last") - F.expr(f"interval {horizon_days} days")).drop("__last")  # one row
+    newest_at = merged.agg(F.max(at)).scalar()
+    return merged.where(F.col(at) >= newest_at - F.expr(f"interval {horizon_days} days"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import extract, markup, text
 from tidemark.operators import identity, metrics, ranking, reconcile, rules, state
-from tidemark.storage import table
+from tidemark.storage import shared_dir, table
+from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -242,8 +244,7 @@ def rank_topk(p):
 )
 def verification_sample(p):
     d = decided(p).select("posting_no", "score", "tier", rules.tier_rank(F.col("tier")).alias("rank"))
-    best = d.agg(F.max("rank").alias("rank"))
-    return ranking.ranked(d.join(F.broadcast(best), "rank"), [F.col("score").desc()], "posting_no", 3).select("posting_no", "tier", "score")  # best: one row
+    return ranking.ranked(d.where(F.col("rank") == d.agg(F.max("rank")).scalar()), [F.col("score").desc()], "posting_no", 3).select("posting_no", "tier", "score")
 
 
 @query("q_reason_histogram", "postings", sql=f"select code, count(*) as n from (select unnest(list_concat(reasons, gaps)) as code from ({_DECIDE})) group by code")
@@ -483,8 +484,8 @@ def merge_grow_only(d, o):
 def plan_cross(o):
     """Every site and track, least recently successful first; both lists are configuration-sized."""
     last = o.where(F.col("status").isin(*metrics.GOOD)).groupBy("site", "search_track").agg(F.max(_us("started_at")).alias("last_us"))
-    sites, tracks = o.select("site").distinct(), o.agg(F.collect_set("search_track").alias("t"))
-    plans = sites.join(F.broadcast(tracks)).select("site", F.explode("t").alias("search_track"))  # tracks: one row
+    lists = o.agg(F.collect_set("site").alias("s"), F.collect_set("search_track").alias("t"))
+    plans = lists.select("t", F.explode("s").alias("site")).select("site", F.explode("t").alias("search_track"))
     return plans.join(last, ["site", "search_track"], "left").withColumn("place", F.row_number().over(Window.orderBy(F.col("last_us").asc_nulls_first(), "site", "search_track")).cast("bigint"))
 
 
@@ -763,3 +764,43 @@ def merge_delivery(d, seen):
     pending = _latest_deliveries(d).where("status <> 'delivered'")
     acked = seen.where("seen_at > 1768000000").select(F.col("identity").alias("job_id")).distinct()
     return pending.join(acked, "job_id", "left_anti")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """A stream run over everything there is, its rows written to shared storage and read back."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def stream_query(name: str, source: str, sql: str):
+    """Register a query whose input is read as a stream of files."""
+
+    def register(build):
+        def start(spark: SparkSession, sf_dir: str) -> DataFrame:
+            schema = table(spark, sf_dir, source).schema
+            # a pattern, since a plain path must be a folder and the table may be one file
+            return build(spark.readStream.schema(schema).parquet(f"{sf_dir}/{source}.parque[t]"))
+
+        QUERIES[name] = start
+        SQL[name] = sql
+        return build
+
+    return register
+
+
+@stream_query("q_stream_dedup", "query_outcomes", sql="select run_id, query_id, site, phase from query_outcomes group by all")
+def stream_dedup(o):
+    keyed = o.withColumn("k", F.xxhash64("run_id", "query_id", "site", "phase"))
+    return _drained(streams.deduplicated(keyed, "k", "started_at", "3650 days").select("run_id", "query_id", "site", "phase"), "dedup")
+
+
+@stream_query("q_stream_admission", "query_outcomes", sql="select site, count(*) as n, least(count(*), 3) as admitted from query_outcomes group by site")
+def stream_admission(o):
+    rows = _drained(streams.rolling_admission(o, "site", "started_at", "run_id", 3, 10**9), "admission")
+    return rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if("admitted").alias("admitted"))

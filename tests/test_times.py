@@ -74,3 +74,27 @@ def test_empty_table_and_clashing_columns(spark):
 def test_all_fields(spark, field):
     rows = postings(spark, [{"platform": "Isoport", field: "2026-01-20"}])
     assert [r.field for r in found_instants(rows, platforms(spark)).collect()] == [field]
+
+
+def test_instants_survive_writing_and_reading(spark):
+    """Round trip: random instants written by the wall clock of each zone, read back."""
+    import random
+
+    rng = random.Random(4)
+    zones = {"Eastboard": "America/New_York", "Kontor": "Europe/Berlin", "Isoport": "UTC", "Bazaar": "Asia/Kolkata"}
+    order = {"Eastboard": "%m/%d/%Y %H:%M", "Kontor": "%d/%m/%Y %H:%M", "Isoport": "%Y/%m/%d %H:%M", "Bazaar": "%d/%m/%Y %H:%M"}
+    rows, expected = [], {}
+    for i in range(1, 401):
+        platform = rng.choice(list(zones))
+        instant = datetime(2025, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=rng.randrange(900_000))
+        wall = instant.astimezone(ZoneInfo(zones[platform]))
+        earliest = wall.replace(fold=0).astimezone(timezone.utc)
+        form = rng.choice(["iso", "offset", "order", "month", "rfc", "epoch"])
+        text = {
+            "iso": wall.strftime("%Y-%m-%d %H:%M"), "offset": wall.isoformat(), "order": wall.strftime(order[platform]), "month": wall.strftime("%B %d, %Y at %I:%M %p"),
+            "rfc": instant.strftime("%a, %d %b %Y %H:%M:%S GMT"), "epoch": str(round(instant.timestamp())),
+        }[form]
+        rows.append({"posting_no": i, "platform": platform, "first_seen_at": text})
+        expected[i] = round((earliest if form in ("iso", "order", "month") else instant).timestamp() * 1e6)
+    got = {r.posting_no: r.utc_us for r in found_instants(postings(spark, rows), platforms(spark)).collect()}
+    assert got == expected

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -62,42 +63,73 @@ def repair(text: str) -> str:
 
 def sentences(text: str) -> Iterator[list[str]]:
     """Folded words of each sentence; whole texts, without a cap."""
-    clean = _INVISIBLE.sub("", repair(text)).replace(" ", " ")
+    if text.isascii():
+        for s in _SENTENCE.split(text.lower()):
+            if words := _WORD.findall(s):
+                yield words
+        return
+    clean = _INVISIBLE.sub("", repair(text)).replace("\u00a0", " ")
     for s in _SENTENCE.split(clean):
-        t = unicodedata.normalize("NFKD", s.lower().translate(PLAIN))
-        words = _WORD.findall("".join(c for c in t if not unicodedata.combining(c)))
-        if words:
+        t = s.lower()
+        if not t.isascii():
+            t = unicodedata.normalize("NFKD", t.translate(PLAIN))
+            t = "".join(c for c in t if not unicodedata.combining(c))
+        if words := _WORD.findall(t):
             yield words
 
 
 #: Documents per output batch, so that a task's lists stay small.
-SLICE = 300
+SLICE = 1000
 TABLE = "doc_id long, n int, phrases array<long>, fresh array<long>"
 
 
+def _lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
+    """One list per owner; ``owner`` ascends."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, text`` to one row per sentence: its distinct phrases as 64-bit hashes, and those
     that no earlier sentence of the document has."""
     known: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
-            docs, numbers, lists, firsts = [], [], [], []
             part = batch.slice(at, SLICE)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                before: set[int] = set()
+            docs: list[int] = []
+            ids, numbers, sizes, hashes = [], [], [], []
+            for d, (doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 for i, words in enumerate(sentences(text or "")):
-                    out = set()
-                    for p in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
-                        h = known.get(p)
+                    for w in words:
+                        h = known.get(w)
                         if h is None:
-                            h = xxhash.xxh3_64_intdigest(p) - (1 << 63)
-                            if len(known) < 100_000:
-                                known[p] = h
-                        out.add(h)
-                    docs.append(doc), numbers.append(i), lists.append(list(out)), firsts.append(list(out - before))
-                    before |= out
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lists, kind), pa.array(firsts, kind)], names=["doc_id", "n", "phrases", "fresh"])
+                            h = xxhash.xxh3_64_intdigest(w)
+                            if len(known) < 200_000:
+                                known[w] = h
+                        hashes.append(h)
+                    docs.append(d), ids.append(doc), numbers.append(i), sizes.append(len(words))
+            n = len(sizes)
+            one = np.array(hashes, np.uint64)
+            owner = np.repeat(np.arange(n), sizes)
+            pair = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+            inside = owner[:-1] == owner[1:]
+            phrase = np.concatenate([one, pair[inside]]).view(np.int64)
+            owner = np.concatenate([owner, owner[:-1][inside]])
+            order = np.lexsort((phrase, owner))
+            phrase, owner = phrase[order], owner[order]
+            keep = np.ones(len(phrase), bool)
+            keep[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
+            phrase, owner = phrase[keep], owner[keep]
+            document = np.array(docs, np.int64)[owner] if n else owner
+            order = np.lexsort((owner, phrase, document))
+            first = np.ones(len(order), bool)
+            first[1:] = (phrase[order][1:] != phrase[order][:-1]) | (document[order][1:] != document[order][:-1])
+            fresh = np.zeros(len(order), bool)
+            fresh[order] = first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), _lists(phrase, owner, n), _lists(phrase[fresh], owner[fresh], n)],
+                names=["doc_id", "n", "phrases", "fresh"],
+            )
 
 
 def strengths(weights: DataFrame) -> DataFrame:

@@ -150,16 +150,20 @@ def _weights(table: DataFrame, labels: DataFrame, barred: DataFrame | None = Non
 
 
 def _sentence_subjects(table: DataFrame, model: DataFrame, cues: DataFrame | None, keep: float) -> DataFrame:
-    """``(doc_id, n, subject)``: the strongest subject of each sentence that has one and no cue."""
+    """``(doc_id, n, subject)``: the strongest subject of each sentence that has one and no cue.
+
+    Cues join as entries without a subject. One shuffle by document serves every aggregation
+    after it, those of ``_document_subjects`` included.
+    """
+    entries = model.select("phrase", "subject", "strength")
+    if cues is not None:
+        entries = entries.unionByName(cues.select("phrase", F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("strength")))
     long = table.select("doc_id", "n", F.explode("phrases").alias("phrase"))
-    hits = long.join(bounded_broadcast(model.select("phrase", "subject", "strength"), BROADCAST_ROWS), "phrase")
+    hits = long.join(bounded_broadcast(entries, BROADCAST_ROWS), "phrase").select("doc_id", "n", "subject", "strength").repartition("doc_id")
     scores = hits.groupBy("doc_id", "n", "subject").agg(F.sum(F.col("strength") * F.col("strength")).alias("score"))
-    best = scores.groupBy("doc_id", "n").agg(F.max(F.struct("score", "subject")).alias("best")).where(F.col("best.score") > keep)
-    best = best.select("doc_id", "n", F.col("best.subject").alias("subject"))
-    if cues is not None:
-        marked = long.join(bounded_broadcast(cues, BROADCAST_ROWS), "phrase", "left_semi").select("doc_id", "n").distinct()
-        best = best.join(marked, ["doc_id", "n"], "left_anti")
-    return best
+    subject = F.col("subject")
+    best = scores.groupBy("doc_id", "n").agg(F.max(F.when(subject.isNotNull(), F.struct("score", "subject"))).alias("best"), F.bool_or(subject.isNull()).alias("passing"))
+    return best.where(~F.col("passing") & (F.col("best.score") > keep)).select("doc_id", "n", F.col("best.subject").alias("subject"))
 
 
 def _document_subjects(found: DataFrame) -> DataFrame:

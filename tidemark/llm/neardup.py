@@ -40,7 +40,7 @@ LEAST_AGREE = 31
 LEAST_FIRST = 13
 #: Entries whose anchors are worked on at a time.
 CHUNK = 40_000
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: Candidate ids up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the [23, 12] Golay code

@@ -95,6 +95,72 @@ def refresh(current: DataFrame, incoming: DataFrame, key: str, columns: list[str
     return c.join(i, F.col(f"c.{key}") == F.col(f"i.{key}"), "left").select(*kept, *[F.coalesce(f"i.{x}", f"c.{x}").alias(x) for x in columns])
 
 
+def claims(current: DataFrame, incoming: DataFrame, key: str, aliases: str, ordinal: str, insert: bool) -> DataFrame:
+    """``(held, key, ordinal)``: entries of ``current`` that incoming rows take, and new ones with ``held`` null.
+
+    Rows are taken in order. Each looks for the first of its key and aliases that an entry has; the
+    entry goes on under the row's key, so a later row may find it there and no longer under the old
+    one. ``ordinal`` is the last row that took the entry. Without ``insert`` a row that finds none is
+    passed over. As in ``greedy_fold``, blocks of shared ids run apart and only ids travel to Python.
+    """
+    none = F.array().cast("array<string>")
+    ids = F.array_compact(F.array_distinct(F.concat(F.array(key), F.coalesce(F.col(aliases), none))))
+    entries = current.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("m"), F.lit(-1).cast("long").alias("o"), F.array(key).alias("ids"))
+    rows = incoming.where(F.col(key).isNotNull()).select(F.col(ordinal).cast("long").alias("m"), F.col(ordinal).cast("long").alias("o"), ids.alias("ids"))
+    both = entries.unionByName(rows)
+    # two members with one number only share a block
+    placed = both.join(blocks(both, "m", F.col("ids")).groupBy("m").agg(F.min("block").alias("block")), "m").select("block", "o", "ids")
+
+    def ended(entries: dict) -> pa.RecordBatch:
+        taken = [(was, k, o) for k, (was, o) in entries.items() if o is not None]
+        columns = list(zip(*taken)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["held", key, ordinal])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, entries, out = None, {}, {}
+        for batch in batches:
+            for b, o, own in zip(*[c.to_pylist() for c in batch.columns]):
+                if b != block:
+                    out |= {(block, k): v for k, v in entries.items() if v[1] is not None}
+                    block, entries = b, {}
+                if o < 0:
+                    entries[own[0]] = (own[0], None)
+                    continue
+                found = next((k for k in own if k in entries), None)
+                if found is not None:
+                    entries[own[0]] = (entries.pop(found)[0], o)
+                elif insert:
+                    entries[own[0]] = (None, o)
+            if len(out) >= 10_000:
+                yield ended({k: v for (_, k), v in out.items()})
+                out = {}
+        out |= {(block, k): v for k, v in entries.items() if v[1] is not None}
+        yield ended({k: v for (_, k), v in out.items()})
+
+    return placed.repartition("block").sortWithinPartitions("block", "o").mapInArrow(fold, f"held string, `{key}` string, `{ordinal}` long")
+
+
+def rekeyed(current: DataFrame, incoming: DataFrame, key: str, aliases: str, ordinal: str, columns: list[str], fresh: dict[str, Column] | None = None) -> DataFrame:
+    """``current`` after incoming rows looked up their entries through aliases; ``held`` is the key before.
+
+    An entry that was found gets the row's key and ``columns``, keeps its other columns, and its old
+    key is gone. Rows that find none are inserted with the values of ``fresh``, or left out if it is
+    None: upsert and refresh. ``columns`` that current lacks are null in entries that nobody took.
+    """
+    taken = claims(current, incoming, key, aliases, ordinal, fresh is not None)
+    values = incoming.select(F.col(ordinal).alias("__o"), *[F.col(c).alias(f"__new_{c}") for c in columns])
+    hits = taken.withColumnsRenamed({key: "__key", ordinal: "__by"}).join(values, F.col("__by") == F.col("__o")).drop("__o", "__by")
+    new = [F.col(f"__new_{c}").alias(c) for c in columns]
+    kept = [c for c in current.columns if c not in (key, *columns)]
+    old = current.join(hits.where("held is not null"), F.col(key) == F.col("held"), "left")
+    own = [F.col(c) if c in current.columns else F.lit(None) for c in columns]
+    out = old.select(F.coalesce("__key", key).alias(key), F.col(key).alias("held"), *kept, *[F.when(F.col("held").isNotNull(), F.col(f"__new_{c}")).otherwise(o).alias(c) for c, o in zip(columns, own)])
+    if fresh is None:
+        return out
+    added = hits.where("held is null").select(F.col("__key").alias(key), "held", *[v.alias(c) for c, v in fresh.items()], *new)
+    return out.unionByName(added, allowMissingColumns=True)
+
+
 def write_back(rows: DataFrame, enriched: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Every duplicate of an enriched key gets its values; each row keeps its own lineage columns."""
     return refresh(rows, enriched, key, columns)

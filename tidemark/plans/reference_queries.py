@@ -402,6 +402,20 @@ def refresh_pending(d, labels):
     return identity.refresh(_latest_deliveries(d), labels.select("job_id", F.col("label").alias("status")), "job_id", ["status"])
 
 
+@query("q_enqueue_pending", "deliveries", "postings", "seen_identities")
+def enqueue_pending(d, p, seen):
+    """Unseen postings put into the latest deliveries: an entry under an alias goes on under the posting's id."""
+    ids_ = F.concat(F.array("job_id"), F.coalesce("aliases", F.array().cast("array<string>")))
+    new = identity.unseen(p.where("job_id is not null").select("posting_no", "job_id", "aliases"), ids_, "job_id", "posting_no", seen, "identity")
+    return identity.rekeyed(_latest_deliveries(d), new, "job_id", "aliases", "posting_no", ["posting_no"], {"status": F.lit("pending"), "attempts": F.lit(0).cast("bigint")})
+
+
+@query("q_refresh_aliases", "deliveries", "postings")
+def refresh_aliases(d, p):
+    """The latest deliveries with the last posting that found each by id or alias; nothing is inserted."""
+    return identity.rekeyed(_latest_deliveries(d), p.select("posting_no", "job_id", "aliases"), "job_id", "aliases", "posting_no", ["posting_no"])
+
+
 # --- reconciliation -------------------------------------------------------------------------------
 
 _SNAP = {

@@ -185,8 +185,11 @@ def duration_requirements(p):
 
 @query("q_split_roles", "postings")
 def split_roles(p):
-    """Sections of leads that offer several roles."""
-    rows = p.where("kind = 'lead' and description_status = 'full'").select("posting_no", F.posexplode(extract.sections(F.col("description"))).alias("n", "s"))
+    """Sections of leads that offer several roles; every other posting is its only section."""
+    several = F.coalesce((F.col("kind") == "lead") & (F.col("description_status") == "full"), F.lit(False))
+    split = extract.sections(F.when(several, F.col("description")))
+    whole = F.array(F.struct("title", F.col("description").alias("text")))
+    rows = p.select("posting_no", F.posexplode(F.when(F.size(split) > 0, split).otherwise(whole)).alias("n", "s"))
     return rows.select("posting_no", "n", "s.title", "s.text")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.text import clean_text, normalized
 from tidemark.operators.components import components, hook
 
 
@@ -165,3 +166,66 @@ def write_back(rows: DataFrame, enriched: DataFrame, key: str, columns: list[str
     """Every duplicate of an enriched key gets its values; each row keeps its own lineage columns."""
     return refresh(rows, enriched, key, columns)
 
+
+
+#: Fields of a merged posting that its first row with a value fills.
+FILLED = ("location", "posted_at", "expires_at", "candidate_locations", "salary_currency", "salary_text", "salary_interval", "application_url", "job_level", "job_type")
+#: What a description's status is worth in a merge.
+WORTH = {"full": 3, "snippet": 2, "fetch_failed": 1}
+
+
+def merge_rows(rows: DataFrame, ordinal: str, survivors: DataFrame) -> DataFrame:
+    """One whole posting per survivor, with what the rows that joined it add, and their number ``merged``.
+
+    ``survivors`` is what ``greedy_fold`` returns. The survivor keeps its own fields but for: the
+    best description by (status, length, earliest) with its status; the first value of ``FILLED``
+    fields, pay bounds and work mode; united aliases (with the ids that joined), URLs and warnings, in
+    the order in which they come up; warnings where a location or work mode differs from the first.
+    Lists are made of distinct values, so a group takes as much room as its merged row.
+    """
+    c, none = F.col, F.array().cast("array<string>")
+    there = rows.columns
+    placed = rows.join(survivors.select(c(ordinal).alias("__m"), c("survivor").alias("__s")), c(ordinal) == c("__m")).drop("__m")
+    first = lambda value, when: F.min_by(value, F.when(when, c(ordinal)))
+    empty = F.lit("")
+    body = F.coalesce("description", empty)
+    worth = F.lit(0)
+    for status, points in WORTH.items():
+        worth = F.when(c("description_status") == status, points).otherwise(worth)
+    best = F.max_by(F.struct("description", "description_status"), F.struct(worth.alias("w"), F.length(body).alias("l"), (-c(ordinal)).alias("o")))
+    aggregates = {"merged": F.count(F.lit(1)), "__best": best}
+    for name in FILLED:
+        if name in there:
+            aggregates[name] = first(c(name), clean_text(c(name)) != "")
+    for name in ("salary_min", "salary_max"):
+        if name in there:
+            aggregates[name] = first(c(name), c(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf")))
+    known = F.coalesce("work_mode", F.lit("unknown")) != "unknown"
+    aggregates["__mode"] = first(F.struct("work_mode", "is_remote"), known)
+    whole = placed.groupBy("__s").agg(*[v.alias(f"__new_{k}") for k, v in aggregates.items()])
+
+    def values(kind: str, array: Column) -> Column:
+        return F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("value"), i.alias("i")))
+
+    place = F.when(clean_text(c("location")) != "", normalized(c("location")))
+    joined = F.when(c(ordinal) != c("__s"), F.array("job_id")).otherwise(none)
+    lists = F.concat(
+        values("aliases", F.concat(F.coalesce("aliases", none), joined)), values("source_urls", F.concat(F.coalesce("source_urls", none), F.array("url"))),
+        values("warnings", F.coalesce("evidence_warnings", none)), values("place", F.array("__place")), values("mode", F.array(F.when(known, c("work_mode")))),
+    )
+    long = placed.withColumn("__place", place).select("__s", c(ordinal).alias("__o"), F.explode(lists).alias("__v")).where("__v.value is not null")
+    distinct = long.groupBy("__s", "__v.kind", "__v.value").agg(F.min(F.struct(c("__o").alias("o"), c("__v.i").alias("i"))).alias("at"))
+    found = distinct.groupBy("__s").agg(F.array_sort(F.collect_list(F.struct("at.o", "at.i", "kind", "value"))).alias("all")).withColumnRenamed("__s", "__l")
+    of = lambda kind: F.filter("all", lambda x: x["kind"] == kind)
+    # the second value of a kind, in order, is the first that differs
+    differs = lambda kind, code, i: F.transform(F.slice(of(kind), 2, 1), lambda x: F.struct(x["o"].alias("o"), F.lit(i).alias("i"), x["kind"].alias("kind"), F.lit(code).alias("value")))
+    warned = F.array_sort(F.concat(of("warnings"), differs("place", "conflicting_locations", -2), differs("mode", "contradictory_work_mode", -1)))
+    texts = lambda array: F.transform(array, lambda x: x["value"])
+    united = found.select("__l", texts(of("aliases")).alias("__aliases"), texts(of("source_urls")).alias("__source_urls"), F.array_distinct(texts(warned)).alias("__warnings"))
+
+    out = rows.join(whole, c(ordinal) == c("__s")).join(united, c("__s") == c("__l"), "left")
+    changed = {n: F.coalesce(f"__new_{n}", n) for n in aggregates if n in there}
+    changed |= {n: c(f"__new___best.{n}") for n in ("description", "description_status")}
+    changed |= {n: F.when(c("__new___mode").isNull(), c(n)).otherwise(c(f"__new___mode.{n}")) for n in ("work_mode", "is_remote")}
+    changed |= {"aliases": F.coalesce("__aliases", none), "source_urls": F.coalesce("__source_urls", none), "evidence_warnings": F.coalesce("__warnings", none)}
+    return out.select(*[changed.get(n, c(n)).alias(n) for n in there], c("__new_merged").alias("merged"))

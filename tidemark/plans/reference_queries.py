@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import extract, markup, text
 from tidemark.operators import identity, metrics, ranking, reconcile, rules, state
+from tidemark.plans import pipeline
 from tidemark.storage import shared_dir, table
 from tidemark.streaming import streams
 
@@ -196,8 +197,8 @@ def split_roles(p):
 # --- rule engine, ranking, counts -----------------------------------------------------------------
 
 
-def decided(p: DataFrame) -> DataFrame:
-    """An example rule set over the postings."""
+def rule_set() -> tuple[list[rules.Rule], list[rules.Score]]:
+    """An example rule set."""
     status, active = F.col("description_status"), F.col("active_status")
     c = F.col
     checks = [
@@ -214,7 +215,12 @@ def decided(p: DataFrame) -> DataFrame:
         rules.Score(F.lit(40), status == "full"), rules.Score(F.lit(25), c("work_mode").isin("remote", "hybrid")),
         rules.Score(rules.share_score(F.least(F.size(F.coalesce("aliases", F.array())), F.lit(3)), F.lit(3), 20), F.lit(True)), rules.Score(F.lit(15), c("is_priority_location")),
     ]
-    return rules.decide(p, checks, points)
+    return checks, points
+
+
+def decided(p: DataFrame) -> DataFrame:
+    """The example rule set over the postings."""
+    return rules.decide(p, *rule_set())
 
 
 _DECIDE = """select posting_no, active_status, job_id, search_track, last_seen_at, work_mode,
@@ -370,6 +376,20 @@ def merge_fold(p):
     return identity.greedy_fold(rows, "posting_no", keys, ("platform", "source_id"))
 
 
+@query("q_merge_jobs", "postings")
+def merge_jobs(p):
+    """Postings with one id or destination as one, with all fields that a merge fills."""
+    merged = pipeline.merge(pipeline.normalize_postings(p), "posting_no")
+    return merged.withColumn("text_md5", F.md5(F.col("description").cast("binary"))).drop("description")
+
+
+@query("q_run_due", "postings", "seen_identities")
+def run_due(p, seen):
+    """A whole run over all postings: what would be delivered, best first."""
+    done = pipeline.run(p, "posting_no", *rule_set(), [F.col("last_seen_at").desc()], seen, 100, now=_now())
+    return done.due.select("turn", "posting_no", "job_id", "tier", "score", "merged")
+
+
 @query(
     "q_unseen", "postings", "seen_identities",
     sql="""with k as (select posting_no, unnest(list_concat([job_id], coalesce(aliases, []))) as identity from postings), s as (select distinct posting_no from k join seen_identities using (identity)),

@@ -1,4 +1,3 @@
-from tidemark.functions import extract
 from tidemark.plans.core_queries import QUERIES
 
 
@@ -18,6 +17,3 @@ def test_every_posting_is_there(spark, data):
     postings = spark.read.parquet(f"{data}/postings.parquet")
     assert QUERIES["q_split_roles"](spark, data).select("posting_no").distinct().count() == postings.count() > 0
 
-
-def test_headings_that_differ_in_accents_only_are_one():
-    assert extract.split_sections("Role: Café manager\nx\nRole: Cafe manager\ny") == []

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import extract, markup, text
+from tidemark.functions.extract import Cues
+from tidemark.plans import settings
 
 
 def one(spark, column, value, kind="string"):
@@ -33,14 +35,33 @@ def test_markup():
     assert markup.locations([{"address": {"addressLocality": "X", "addressCountry": {"name": "Y"}}}, "Z", "Z", None]) == "X, Y; Z"
 
 
-def test_requirements():
-    got = extract.duration_requirements("At least three to five years of experience. A company founded 20 years ago. Four-year degree; 6 months experience preferred")
-    assert [(r["minimum_months"], r["maximum_months"], r["preferred"]) for r in got] == [(36.0, 60.0, False), (6.0, None, True)]
-    assert extract.duration_requirements(None) == [] and extract.duration_requirements("") == []
+def requirements(spark, *texts, cues=settings.EXPERIENCE):
+    rows = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "n int, t string, evidence_no int")
+    return sorted((r.n, r.minimum_months, r.maximum_months, r.preferred) for r in extract.durations(rows, "t", cues).collect())
 
 
-def test_sections():
+def test_requirements(spark):
+    text = "At least three to five years of experience. A company founded 20 years ago. Four-year degree; 6 months experience preferred"
+    assert requirements(spark, text, None, "", "5 years") == [(0, 6.0, None, True), (0, 36.0, 60.0, False)]
+    assert requirements(spark, "1 to 3 years experience. A 4 year degree is required.", "0-2 years experience", "Five years of experience preferred") == [(0, 12.0, 36.0, False), (1, 0.0, 24.0, False), (2, 60.0, None, True)]
+    assert requirements(spark, "x" * 100_000 + " 2 yrs experience, company history of 9 years, a firm with 3 months of experience") == [(0, 3.0, None, False), (0, 24.0, None, False)]
+
+
+def test_context_ends_at_the_neighbouring_duration_and_at_its_reach(spark):
+    far = Cues(asks=r"\bexperience\b")
+    assert requirements(spark, "experience of 2 years 3 years", cues=far) == [(0, 24.0, None, False)]
+    assert requirements(spark, "experience " + "x" * 70 + " 2 years", "experience " + "x" * 50 + " 2 years", cues=far) == [(1, 24.0, None, False)]
+
+
+def split(spark, text):
+    rows = spark.createDataFrame([(text,)], "t string")
+    return [tuple(s) for s in extract.sections(rows, "t", settings.role_heading, settings.for_all).first().sections or []]
+
+
+def test_sections(spark):
     post = "We hire.\nRole: Data Analyst\nKnows SQL.\n2) Software Engineer\nKnows Go.\nHow to apply: write"
-    got = extract.split_sections(post)
-    assert [s["title"] for s in got] == ["Data Analyst", "Software Engineer"] and all("We hire." in s["text"] and "write" in s["text"] for s in got) and "Go" not in got[0]["text"]
-    assert extract.split_sections("Role: A role\nRole: a  ROLE") == [] and extract.split_sections(None) == []
+    got = split(spark, post)
+    assert [s[0] for s in got] == ["Data Analyst", "Software Engineer"] and all("We hire." in s[1] and "write" in s[1] for s in got) and "Go" not in got[0][1]
+    assert split(spark, "Role: A role\nRole: a  ROLE") == [] and split(spark, None) == [] and split(spark, "") == []
+    assert split(spark, "Role: Café manager\nx\nRole: Cafe manager\ny") == [] and split(spark, "Role: None\nx\nRole: Null\ny") == []
+    assert len(split(spark, "\n".join(f"Role: Role {i}\n" + "x" * 2000 for i in range(60)))) == 60

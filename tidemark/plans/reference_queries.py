@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import extract, markup, text
 from tidemark.operators import identity, metrics, ranking, reconcile, rules, state
-from tidemark.plans import pipeline
+from tidemark.plans import pipeline, settings
 from tidemark.storage import shared_dir, table
 from tidemark.streaming import streams
 
@@ -177,21 +177,84 @@ def jsonld(p):
     return posting.select("posting_no", F.get_json_object("o", "$.title").alias("title"), F.get_json_object("o", "$.hiringOrganization.name").alias("company"))
 
 
-@query("q_duration_requirements", "postings")
+_BOTH_TEXTS = "(select posting_no, 'description' as field, description as t from postings union all select posting_no, 'source_description', source_description from postings)"
+
+
+def _durations_sql(cues: extract.Cues) -> str:
+    """Durations by unnested clauses and their pieces."""
+    pattern = extract.DURATION
+    low = "replace(replace(lower(t), '–', '-'), '—', '-')"
+    for i, word in enumerate(extract.NUMBER_WORDS):
+        low = f"regexp_replace({low}, '\\b{word}\\b', '{i}', 'g')"
+    around = "(l || ' ' || r)"
+    tests = [f"regexp_matches({around}, '{cues.asks}')", f"not regexp_matches(r, '^\\s+(?:{cues.follows})')"]
+    if cues.precedes:
+        tests.append(f"not (regexp_matches(l, '(?:{cues.precedes}).{{0,30}}$') and not regexp_matches(r, '^\\s+(?:{cues.unless})'))")
+    months = f"case when starts_with(regexp_extract(hit, '{pattern}', 3), 'month') then 1.0::double else 12.0::double end"
+    return f"""with c as (select posting_no, field, unnest(string_split_regex(regexp_replace({low}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '[\\n;,]')) as clause from {_BOTH_TEXTS}),
+    e as (select posting_no, field, {_norm('clause')} as evidence from c where regexp_matches(clause, '{pattern}')),
+    g as (select posting_no, field, evidence, regexp_extract_all(evidence, '{pattern}') as hits, string_split_regex(evidence, '{pattern}') as gaps from e),
+    h as (select posting_no, field, evidence, unnest(hits) as hit, right(unnest(gaps[1:len(gaps)-1]), {cues.before}) as l, left(unnest(gaps[2:]), {cues.after}) as r from g)
+    select posting_no, field, try_cast(regexp_extract(hit, '{pattern}', 1) as double) * ({months}) as minimum_months, try_cast(regexp_extract(hit, '{pattern}', 2) as double) * ({months}) as maximum_months,
+     regexp_matches({around}, '{cues.wishes}') as preferred, evidence from h where {' and '.join(tests)}"""
+
+
+def _durations(p: DataFrame, cues: extract.Cues) -> DataFrame:
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("description", "source_description")])
+    texts = p.select("posting_no", F.explode(fields).alias("t")).select("posting_no", "t.field", F.col("t.text").alias("text"))
+    return extract.durations(texts, "text", cues).drop("text")
+
+
+@query("q_duration_requirements", "postings", sql=_durations_sql(settings.EXPERIENCE))
 def duration_requirements(p):
-    """Durations that descriptions ask for."""
-    rows = p.select("posting_no", F.explode(extract.requirements(F.col("description"))).alias("r"))
-    return rows.select("posting_no", "r.minimum_months", "r.maximum_months", "r.preferred", "r.evidence")
+    """Experience that the texts ask for."""
+    return _durations(p, settings.EXPERIENCE)
+
+
+@query("q_contract_terms", "postings", sql=_durations_sql(settings.TERMS_OF_CONTRACT))
+def contract_terms(p):
+    """Lengths of contracts and other durations that the texts state."""
+    return _durations(p, settings.TERMS_OF_CONTRACT)
+
+
+def _sections_sql(title: str, eligible: str, footer: str) -> str:
+    """Sections by numbered lines and a running count of headings."""
+    return f"""with l as (select posting_no, generate_subscripts(ls, 1) - 1 as i, unnest(ls) as line from (select posting_no, string_split_regex(description, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]') as ls from postings where {eligible})),
+    t as (select posting_no, i, line, {title} as title from l), k as (select posting_no, min(i) as first, max(i) as last from t where title is not null group by posting_no
+      having count(*) >= 2 and count(distinct {_norm('title')}) = count(*)),
+    f as (select k.posting_no, first, coalesce(min(i) filter (i > last and {footer}), max(i) + 1) as foot from k join t using (posting_no) group by k.posting_no, first),
+    s as (select t.*, foot, i < first or i >= foot as common, count(title) over (partition by posting_no order by i) as n from t join f using (posting_no)),
+    shared as (select posting_no, regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (common), ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as text from s group by posting_no),
+    own as (select posting_no, n, max(title) as title, regexp_replace(string_agg(line, chr(10) order by i), '^{_SPACE}+|{_SPACE}+$', '', 'g') as text from s where not common group by posting_no, n)
+    select posting_no, (n - 1)::integer as n, own.title, case when shared.text = '' then own.text when own.text = '' then shared.text else shared.text || chr(10) || own.text end as text from own join shared using (posting_no)
+    union all select posting_no, 0, title, description from postings where posting_no not in (select posting_no from k)"""
 
 
-@query("q_split_roles", "postings")
+_BARE = "trim(regexp_replace(line, '^\\s*(?:[-*•]\\s+|\\d+[.)]\\s+)', ''))"
+_ROLE_TITLE = f"""(select case when length(x) between 3 and 120 then x end from (select regexp_replace(case when regexp_matches(b, '(?i)^(?:role|position|job title)\\s*:\\s*.') then regexp_extract(b, '(?i)^[^:]*:\\s*(.+)$', 1)
+  when regexp_matches(b, '{settings._ROLE}') and not regexp_matches(b, '{settings._DEMAND}') and len(string_split_regex(b, '\\s+')) <= 10 then b end, '^[*: ]+|[*: ]+$', '', 'g') as x from (select {_BARE} as b)))"""
+_PART_TITLE = f"nullif(lower(regexp_extract(line, '(?i)^\\W*({'|'.join(settings.PARTS)})\\s*:', 1)), '')"
+
+
+def _split(p: DataFrame, description, heading, footer=None) -> DataFrame:
+    """Sections of ``description``; a post that isn't split is its only section."""
+    split = extract.sections(p.select("posting_no", "title", "description", description.alias("__text")), "__text", heading, footer)
+    whole = F.array(F.struct("title", F.col("description").alias("text")))
+    rows = split.select("posting_no", F.posexplode(F.coalesce("sections", whole)).alias("n", "s"))
+    return rows.select("posting_no", "n", "s.title", "s.text")
+
+
+@query("q_split_roles", "postings", sql=_sections_sql(_ROLE_TITLE, "kind = 'lead' and description_status = 'full'", f"regexp_matches(line, '{settings._FOR_ALL}')"))
 def split_roles(p):
     """Sections of leads that offer several roles; every other posting is its only section."""
     several = F.coalesce((F.col("kind") == "lead") & (F.col("description_status") == "full"), F.lit(False))
-    split = extract.sections(F.when(several, F.col("description")))
-    whole = F.array(F.struct("title", F.col("description").alias("text")))
-    rows = p.select("posting_no", F.posexplode(F.when(F.size(split) > 0, split).otherwise(whole)).alias("n", "s"))
-    return rows.select("posting_no", "n", "s.title", "s.text")
+    return _split(p, F.when(several, F.col("description")), settings.role_heading, settings.for_all)
+
+
+@query("q_sections", "postings", sql=_sections_sql(_PART_TITLE, "description is not null", "false"))
+def parts(p):
+    """Descriptions split at the labels that open a part; every other posting is its only section."""
+    return _split(p, F.col("description"), settings.part_heading)
 
 
 # --- rule engine, ranking, counts -----------------------------------------------------------------

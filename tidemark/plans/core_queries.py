@@ -14,6 +14,7 @@ def _q(build, *tables):
 QUERIES = {
     "p1_found": _q(times.found_instants, "postings", "platforms"),
     "p7_found": _q(pay.found_pay, "postings", "platforms", "pay_units"),
+    "p7_unread": _q(pay.unread_pay, "postings", "platforms", "pay_units"),
 }
 
 QUERIES |= reference_queries.QUERIES

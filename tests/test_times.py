@@ -38,12 +38,16 @@ CASES = [
     ("Bazaar", "35 hours ago", CAPTURED - timedelta(hours=35)),
     ("Bazaar", "Posted 4 days ago", CAPTURED - timedelta(days=4)),
     ("Bazaar", "1w ago", CAPTURED - timedelta(days=7)),
+    ("Isoport", "  20   Jan 2026" + " " * 300, utc(2026, 1, 20)),
+    ("Isoport", "Dienstag, 20. Januar 2026", utc(2026, 1, 20)),
+    ("Isoport", "martes, 3 de marzo de 2026", utc(2026, 3, 3)),
+    ("Isoport", "Lundi 9 févr. 2026", utc(2026, 2, 9)),
     # the clock goes back: the earlier instant; the clock goes forward: the offset before the change
     ("Eastboard", "2025-11-02 01:30", utc(2025, 11, 2, 5, 30)),
     ("Eastboard", "2026-03-08 02:30", utc(2026, 3, 8, 7, 30)),
     ("Kontor", "2026-03-29 02:30", utc(2026, 3, 29, 1, 30)),
 ]
-NO_CASES = ["", "  ", "NaT", "null", "30+ days ago", "recently", "this month", "TBD", "0000-00-00", "2026-02-30", "13:61", "2026-01-20T12:32:33Z", "12345", "x" * 5000, "99/99/9999"]
+NO_CASES = ["", "  ", "NaT", "null", "30+ days ago", "recently", "this month", "TBD", "0000-00-00", "2026-02-30", "13:61", "2026-01-20T12:32:33Z", "12345", "x" * 5000, "99/99/9999", "3 Martes 2026", "Holiday, 20 Jan 2026", "Janet 3, 2026", "2026-01-20 10:00 " + "x" * 300]
 
 
 def test_every_notation(spark):

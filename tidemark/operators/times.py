@@ -20,11 +20,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Month names by their first three letters (English, German, Spanish).
-MONTHS = {
-    "jan": 1, "ene": 1, "feb": 2, "mar": 3, "mär": 3, "mrz": 3, "apr": 4, "abr": 4, "may": 5, "mai": 5, "jun": 6,
-    "jul": 7, "aug": 8, "ago": 8, "sep": 9, "set": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "dez": 12, "dic": 12,
-}
+# How the months are written (English, German, Spanish, French; short and whole).
+_MONTH_WORDS = """jan january januar jänner ene enero janv janvier
+feb february februar febrero févr février
+mar march mär märz mrz marzo mars
+apr april abr abril avr avril
+may mai mayo
+jun june juni junio juin
+jul july juli julio juil juillet
+aug august ago agosto août
+sep sept september septiembre set setiembre septembre
+oct october okt oktober octubre octobre
+nov november noviembre novembre
+dec december dez dezember dic diciembre déc décembre"""
+MONTHS = {word: number for number, line in enumerate(_MONTH_WORDS.splitlines(), 1) for word in line.split()}
+# How the days of the week are written; what else stands before a date is no date.
+WEEKDAYS = (
+    "monday mon tuesday tue tues wednesday wed thursday thu thur thurs friday fri saturday sat sunday sun montag mo dienstag di mittwoch mi donnerstag do freitag fr samstag sa sonnabend sonntag so "
+    "lunes lun martes miércoles mié jueves jue viernes vie sábado sáb domingo dom lundi mardi mercredi mer jeudi jeu vendredi ven samedi sam dimanche dim"
+).split()
 
 # Minutes east of UTC of a zone abbreviation where the source's zone says nothing else.
 ABBREVIATIONS = {
@@ -39,7 +53,7 @@ LOCAL_ABBREVIATIONS = {
     "Europe/Dublin|IST": 60, "Asia/Jerusalem|IST": 120, "Asia/Dhaka|BST": 360, "Asia/Manila|PST": 480, "Asia/Shanghai|CST": 480,
 }
 
-_WEEKDAY = r"(?:\p{L}{2,10}\.?,? )?"
+_WEEKDAY = rf"(?:(?iu:{'|'.join(sorted(WEEKDAYS, key=len, reverse=True))})\.?,? )?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: Uhr)?"
 _ZONE = r"(?: ?(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{1,5}|[A-Z][A-Za-z_]+/[A-Za-z_/]+)(?:\[[^\]]+\])?)?"
 
@@ -92,13 +106,13 @@ def with_instants(rows: DataFrame, value: str, out: str, zone: str = "__zone", o
 
     ``zone`` and ``order`` (the source's default zone and ``date_order``) may be null: then
     only values that carry their own zone, or raise no day/month question, come out. Values
-    of more than 80 characters name no instant.
+    of any length are matched whole: every pattern is anchored at both ends.
 
     Three narrow projections, so that generated code stays small: pick the pattern and write
     the fields in one order; split them; compute the instant.
     """
     v = F.trim(F.regexp_replace(F.col(value), r"[\s\u00a0]+", " "))
-    fields = F.when((F.length("__v") > 80) | F.col("__v").isNull(), None)
+    fields = F.when(F.col("__v").isNull(), None)
     for kind, pattern, ymd in CASCADE:
         fields = fields.when(F.col("__v").rlike(pattern), F.regexp_replace("__v", pattern, f"{kind}|{ymd}|$4|$5|$6|$7|$8|$9"))
     fields = fields.when(F.col("__v").rlike(EPOCH), F.regexp_replace("__v", EPOCH, "epoch|$1|$2"))
@@ -108,7 +122,7 @@ def with_instants(rows: DataFrame, value: str, out: str, zone: str = "__zone", o
     staged = rows.withColumn("__v", v).withColumn("__f", F.explode(F.array(F.split(fields, "[|]", -1))))
     f = lambda i: F.get(F.col("__f"), F.lit(i))
     kind, first, second, third = f(0), _int(f(1)), _int(f(2)), _int(f(3))
-    month = F.element_at(_literal_map(MONTHS), F.lower(F.substring(f(2), 1, 3)))
+    month = F.element_at(_literal_map(MONTHS), F.lower(f(2)))
     rule = F.when((F.col(order) == "ymd") & (F.length(f(3)) == 4), F.lit("dmy")).otherwise(F.col(order))
     numeric = kind == "numeric"
     year = F.when(~numeric | (rule == "ymd"), first).otherwise(third)

@@ -3,10 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidemark.llm.packing import CAPACITY, packed, packing_report, plan, tier_of
+from tidemark.llm.packing import CAPACITY, dealt, packed, packing_report, plan, tier_of
 from tidemark.llm.subjects import found_subjects, repair, sentences
 from tidemark.llm.tokens import VOCABULARY, encoder, token_ids
 
@@ -64,6 +65,31 @@ def test_plan_is_a_packing(histogram):
     assert containers <= -(-total // 64) * 2
 
 
+def test_containers_are_made_of_windows_of_their_tier():
+    rng = random.Random(3)
+    histogram = {rng.randrange(1, CAPACITY + 1): rng.randrange(1, 60) for _ in range(300)} | {rng.randrange(1, 200): 400 for _ in range(40)}
+    slots, containers = plan(histogram)
+    by: dict[int, list] = {}
+    for size, _, copies, start, _, offset in slots:
+        by.setdefault(start, []).append((offset, size, copies))
+    loads = []
+    for start, places in sorted(by.items()):
+        places.sort()
+        tier = tier_of(places[0][1])
+        loads.append(sum(size * copies for _, size, copies in places))
+        # no document of a longer tier, and as many of the tier as it has windows, or the tier is used up
+        assert all(tier_of(size) <= tier for _, size, _ in places)
+    assert loads == sorted(loads, reverse=True) and len({tier_of(p[0][1]) for p in map(sorted, by.values())}) == 4
+    assert sum(s * n for s, n in histogram.items()) / (containers * CAPACITY) > 0.99
+
+
+def test_groups_get_the_same_number_and_nearly_the_same_load():
+    load = np.sort(np.random.default_rng(1).integers(1, 2049, 64 * 40))[::-1]
+    group = dealt(np.arange(64 * 40), 40)
+    sums = np.bincount(group, load)
+    assert set(np.bincount(group)) == {64} and np.abs(sums / sums.mean() - 1).max() < 0.01
+
+
 def test_plan_refuses_and_tiers():
     with pytest.raises(ValueError):
         plan({65: 1}, 64)
@@ -87,6 +113,8 @@ def test_packing_query(spark):
         p.sort()
         assert all(a + s <= b for (a, s), (b, _) in zip(p, p[1:])) and p[-1][0] + p[-1][1] <= CAPACITY
     report = packing_report(df).first()
+    tiers = {r.tier: r for r in packing_report(df).collect()}
+    assert sum(r.containers for t, r in tiers.items() if t) == report.containers and sum(r.tokens for t, r in tiers.items() if t) == report.tokens
     assert report.containers == len(places) <= 1.05 * report.least_containers + 1
     assert packed(documents(spark, [])).count() == 0 and packing_report(documents(spark, [])).first().containers == 0
 

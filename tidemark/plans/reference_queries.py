@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.functions import extract, markup, text
 from tidemark.operators import identity, metrics, ranking, reconcile, rules, state
 from tidemark.plans import pipeline, settings
-from tidemark.storage import shared_dir, table
+from tidemark.storage import register, shared_dir, table
 from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -873,6 +873,7 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     """A stream run over everything there is, its rows written to shared storage and read back."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    register(spark, path)
     run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,11 +38,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stash(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, keep: list[str] | None = None, outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage.
 
     A lost executor then costs a re-read of files, not a recomputation. The path is
-    appended to ``keep`` so that a loop can drop tables it no longer needs; whatever
+    appended to ``keep`` so that a loop can drop tables it no longer needs; inside
+    ``scratch`` the table goes with the block unless it is written ``outside``; whatever
     remains is removed when the Python process ends.
     """
     spark = df.sparkSession
@@ -48,10 +51,21 @@ def stash(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if keep is not None:
         keep.append(path)
-    _register(spark, path)
+    register(spark, path, outside)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stashed inside the block are removed at its end; what is left of it must be written ``outside``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast after counting that it has at most ``rows`` rows.
 
@@ -61,9 +75,14 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 _PATHS: list[tuple[SparkSession, str]] = []
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
-def _register(spark: SparkSession, path: str) -> None:
+def register(spark: SparkSession, path: str, outside: bool = False) -> None:
+    """Remove ``path`` with the block around, or the one around that if ``outside``, else when the process ends."""
+    if len(_SCOPES) > outside:
+        _SCOPES[-1 - outside].append((spark, path))
+        return
     if not _PATHS:
         atexit.register(_clean)
     _PATHS.append((spark, path))

@@ -15,6 +15,7 @@ def _q(build, *tables):
 
 QUERIES = {
     "p2_found": _q(forest.found_listings, "postings", "platforms"),
+    "p2_near": _q(forest.near_listings, "postings"),
     "p3_found": _q(neardup.found_reposts, "postings"),
     "p3_groups": _q(neardup.repost_groups, "postings"),
     "p4_found": _q(canonical.found_canonical, "postings", "places", "role_titles"),

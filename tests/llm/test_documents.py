@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidemark.llm.packing import CAPACITY, dealt, packed, packing_report, plan, tier_of
+from tidemark.llm import subjects as module
 from tidemark.llm.subjects import found_subjects, repair, sentences
 from tidemark.llm.tokens import VOCABULARY, encoder, token_ids
 
@@ -149,6 +150,27 @@ def test_heldout_subjects(spark):
     assert hit / len(expected) > 0.97 and hit / len(got) > 0.9
 
 
+def test_large_models_are_joined_with_the_same_result(spark, monkeypatch):
+    texts, subjects = corpus(200, 4)
+    labels = spark.createDataFrame([(i + 1, s) for i in range(0, 200, 3) for s in sorted(subjects[i])], "doc_id long, subject string")
+    df = documents(spark, texts)
+    small = {tuple(r) for r in found_subjects(df, labels).collect()}
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    assert {tuple(r) for r in found_subjects(df, labels).collect()} == small != set()
+
+
+def test_rounds_end_when_no_label_moves(spark, monkeypatch):
+    texts, subjects = corpus(300, 5)
+    labels = spark.createDataFrame([(i + 1, s) for i in range(0, 300, 4) for s in sorted(subjects[i])], "doc_id long, subject string")
+    marks = []
+    passed_on = module._passed_on
+    monkeypatch.setattr(module, "_passed_on", lambda *a: marks.append(passed_on(*a)) or marks[-1])
+    settled = {tuple(r) for r in found_subjects(documents(spark, texts), labels).collect()}
+    assert 2 <= len(marks) < module.ROUNDS and marks[-1][1] == marks[-2][1]
+    monkeypatch.setattr(module, "ROUNDS", len(marks) + 2)
+    assert {tuple(r) for r in found_subjects(documents(spark, texts), labels).collect()} == settled
+
+
 def test_nothing_to_learn(spark):
     labels = spark.createDataFrame([], "doc_id long, subject string")
     assert found_subjects(documents(spark, ["a b c"]), labels).count() == 0

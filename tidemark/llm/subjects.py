@@ -1,22 +1,28 @@
-"""Subjects of documents by label propagation over a document-phrase graph.
+"""Subjects of documents by label propagation over a document-similarity graph.
 
-Two documents are similar where they share phrases (words and word pairs of a sentence); the
-graph is kept in that factored form, document - phrase - document, so labels travel along it
-by two joins and no pair of documents is ever emitted. An edge is verified before it carries a
-label: the share of a phrase's labelled weight that agrees on one subject, taken at the lower
-confidence bound, must exceed ``LEAST``. Labelled documents are seeds and stay clamped; phrases
-that the seeds show to be common to many subjects are barred for good. Documents with at least
-``SURE`` sentences for a subject pass it on in the next round, and may hold several subjects.
+Two documents are similar where they share phrases (words and word pairs of a sentence). The graph is
+kept in factored form, document - phrase - document, so labels travel along it in two steps and no
+pair of documents is ever emitted, however many share a phrase. An edge is verified before it
+carries a label: the share of a phrase's labelled weight that agrees on one subject, taken at the lower
+confidence bound, must exceed ``LEAST``. Labelled documents are seeds and stay clamped; phrases that
+the seeds show to be common to many subjects are barred for good. Documents with at least ``SURE``
+sentences for a subject pass it on in the next round, and may hold several subjects; rounds go on
+until no label moves (``ROUNDS`` at most).
 
 Passing mentions: phrases of the seeds' sentences whose subject is not among the document's own
-("a sister company deals in ...") are learned as cues, and sentences with a cue say nothing.
+("a sister company deals in ...") are learned as cues, and sentences with a cue say nothing. A subject
+that one sentence alone speaks of is a passing mention too, unless the document is that sentence.
+
+Texts are read twice: the seeds' to learn from, all of them for the table of their phrases without
+barred ones. Rounds read that table. A verified model of up to ``BROADCAST_ROWS`` phrases is looked up
+where the documents are, with nothing shuffled but sums by phrase; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.canonical import PLAIN
-from tidemark.storage import bounded_broadcast, stash
+from tidemark.storage import bounded_broadcast, scratch, stash
 
 Z = 1.2
 LEAST = 0.4
@@ -35,16 +41,20 @@ BARRED = 2.0
 #: Phrases first learned from propagated labels need this strength.
 NEW_STRENGTH = 0.6
 SURE = 3
-ROUNDS = 1
-#: A subject is kept if it has this share of the strongest subject's sentences.
+ROUNDS = 8
+#: A subject is kept if it has this share of the strongest subject's sentences, and this many.
 SHARE = 0.3
-#: Model tables up to this many rows are broadcast; larger ones are joined by shuffle.
+FEWEST = 2
+#: Score that makes a sentence one of its subject: in a document, and among the seeds when cues are learned.
+SPEAKS, TOPICAL = 0.02, 0.1
+#: Model tables up to this many rows are broadcast (16 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _BROKEN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-‧€™]{2,}")
-_SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?…;])\s+|\s[•·]\s|<[^<>]{1,60}>")
-_WORD = re.compile(r"[a-z0-9']+")
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+#: Words, and what ends a sentence: a line, a stop before a blank, a bullet, a tag.
+_TOKEN = re.compile(r"[a-z0-9']+|[\n\r]|[.!?;]\s|\s[•·](?=\s)|<[^<>]{1,60}>")
 
 
 def repair(text: str) -> str:
@@ -61,75 +71,110 @@ def repair(text: str) -> str:
     return _BROKEN.sub(one, text) if "Ã" in text or "â" in text or "Â" in text else text
 
 
+def tokens(text: str) -> list[str]:
+    """Folded words and sentence ends of a whole text, without a cap."""
+    if not text.isascii():
+        clean = _INVISIBLE.sub("", repair(text)).replace(" ", " ").lower().translate(PLAIN)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", clean))
+        return _TOKEN.findall(text)
+    return _TOKEN.findall(text.lower())
+
+
+def _is_word(token: str) -> bool:
+    return token[0].isalnum() or token[0] == "'"
+
+
 def sentences(text: str) -> Iterator[list[str]]:
-    """Folded words of each sentence; whole texts, without a cap."""
-    if text.isascii():
-        for s in _SENTENCE.split(text.lower()):
-            if words := _WORD.findall(s):
-                yield words
-        return
-    clean = _INVISIBLE.sub("", repair(text)).replace("\u00a0", " ")
-    for s in _SENTENCE.split(clean):
-        t = s.lower()
-        if not t.isascii():
-            t = unicodedata.normalize("NFKD", t.translate(PLAIN))
-            t = "".join(c for c in t if not unicodedata.combining(c))
-        if words := _WORD.findall(t):
+    """Folded words of each sentence that has any."""
+    words: list[str] = []
+    for t in tokens(text):
+        if _is_word(t):
+            words.append(t)
+        elif words:
             yield words
+            words = []
+    if words:
+        yield words
 
 
-#: Documents per output batch, so that a task's lists stay small.
-SLICE = 1000
-TABLE = "doc_id long, n int, phrases array<long>, fresh array<long>"
-
-
-def _lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
-    """One list per owner; ``owner`` ascends."""
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, text`` to one row per sentence: its distinct phrases as 64-bit hashes, and those
-    that no earlier sentence of the document has."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            docs: list[int] = []
-            ids, numbers, sizes, hashes = [], [], [], []
-            for d, (doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                for i, words in enumerate(sentences(text or "")):
-                    for w in words:
-                        h = known.get(w)
-                        if h is None:
-                            h = xxhash.xxh3_64_intdigest(w)
-                            if len(known) < 200_000:
-                                known[w] = h
-                        hashes.append(h)
-                    docs.append(d), ids.append(doc), numbers.append(i), sizes.append(len(words))
-            n = len(sizes)
-            one = np.array(hashes, np.uint64)
-            owner = np.repeat(np.arange(n), sizes)
-            pair = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-            inside = owner[:-1] == owner[1:]
-            phrase = np.concatenate([one, pair[inside]]).view(np.int64)
-            owner = np.concatenate([owner, owner[:-1][inside]])
-            order = np.lexsort((phrase, owner))
-            phrase, owner = phrase[order], owner[order]
-            keep = np.ones(len(phrase), bool)
-            keep[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
-            phrase, owner = phrase[keep], owner[keep]
-            document = np.array(docs, np.int64)[owner] if n else owner
-            order = np.lexsort((owner, phrase, document))
-            first = np.ones(len(order), bool)
-            first[1:] = (phrase[order][1:] != phrase[order][:-1]) | (document[order][1:] != document[order][:-1])
-            fresh = np.zeros(len(order), bool)
-            fresh[order] = first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), _lists(phrase, owner, n), _lists(phrase[fresh], owner[fresh], n)],
-                names=["doc_id", "n", "phrases", "fresh"],
-            )
+class _Hashes(dict):
+    """64-bit hashes of words, 0 for sentence ends; the most recent vocabulary is remembered."""
+
+    def __missing__(self, token: str) -> int:
+        h = xxhash.xxh3_64_intdigest(token) | 1 if _is_word(token) else 0
+        if len(self) < 300_000:
+            self[token] = h
+        return h
+
+
+#: Documents per output batch, so that a task's arrays stay small.
+SLICE = 500
+TABLE = "doc_id long, total int, sentences array<array<long>>"
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
+def phrases_of(texts: list[str | None], hashes: _Hashes, skip: np.ndarray, cues: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrases, sentence of each, document of each sentence, sentences of each document).
+
+    Phrases are distinct in their sentence and sorted; those of ``skip`` are left out, and so are sentences
+    with one of ``cues``. Sentences are numbered over all texts; some have no phrase left.
+    """
+    read = hashes.__getitem__
+    parts = [np.fromiter(map(read, tokens(t)), np.uint64) if t else np.empty(0, np.uint64) for t in texts]
+    sizes = np.array([len(p) for p in parts])
+    ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    document = np.repeat(np.arange(len(parts)), sizes)
+    word = ids != 0
+    # a word begins a sentence if the token before it is no word or of another document
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | (document[1:] != document[:-1])
+    number = np.cumsum(begins) - 1
+    ids, number = ids[word], number[word]
+    of = document[begins]
+    pair = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    inside = number[:-1] == number[1:]
+    phrase = np.concatenate([ids, pair[inside]]).view(np.int64)
+    number = np.concatenate([number, number[:-1][inside]])
+    keep = ~_among(phrase, skip)
+    if len(cues):
+        passing = np.zeros(len(of), bool)
+        passing[number[_among(phrase, cues)]] = True
+        keep &= ~passing[number]
+    phrase, number = phrase[keep], number[keep]
+    order = np.lexsort((phrase, number))
+    phrase, number = phrase[order], number[order]
+    fresh = np.ones(len(phrase), bool)
+    fresh[1:] = (phrase[1:] != phrase[:-1]) | (number[1:] != number[:-1])
+    return phrase[fresh], number[fresh], of, np.bincount(of, minlength=len(parts))
+
+
+def _reader(skip: np.ndarray, cues: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``doc_id, text`` to one row per document: its number of sentences and their phrases."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                phrase, number, of, total = phrases_of(part.column(1).to_pylist(), hashes, skip, cues)
+                filled, lengths = np.unique(number, return_counts=True)
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(phrase))
+                per_document = np.bincount(of[filled], minlength=part.num_rows) if len(filled) else np.zeros(part.num_rows, int)
+                outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_document)]).astype(np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total.astype(np.int32)), outer], names=["doc_id", "total", "sentences"])
+
+    return read
+
+
+# --- what phrases say -----------------------------------------------------------------------------
 
 
 def strengths(weights: DataFrame) -> DataFrame:
@@ -141,36 +186,131 @@ def strengths(weights: DataFrame) -> DataFrame:
     return t.select("phrase", F.col("n").alias("total"), F.col("top.subject").alias("subject"), strength.alias("strength"))
 
 
-def _weights(table: DataFrame, labels: DataFrame, barred: DataFrame | None = None) -> DataFrame:
-    """Labelled weight of each phrase by subject: each document counts a phrase once. One shuffle, after partial sums."""
-    docs = table.join(labels, "doc_id").select("subject", "weight", F.explode("fresh").alias("phrase"))
-    if barred is not None:
-        docs = docs.join(bounded_broadcast(barred, BROADCAST_ROWS), "phrase", "left_anti")
+def _weights(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled weight of each phrase by subject: each document counts a phrase once."""
+    docs = table.join(labels, "doc_id").select("subject", "weight", F.explode(F.array_distinct(F.flatten("sentences"))).alias("phrase"))
     return docs.groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
 
 
-def _sentence_subjects(table: DataFrame, model: DataFrame, cues: DataFrame | None, keep: float) -> DataFrame:
-    """``(doc_id, n, subject)``: the strongest subject of each sentence that has one and no cue.
+class Model:
+    """Verified phrases in sorted arrays, for look-ups where the documents are."""
+
+    def __init__(self, rows: pa.Table, subjects: list[str]) -> None:
+        phrase = rows.column("phrase").to_numpy()
+        order = np.argsort(phrase)
+        place = {s: i for i, s in enumerate(subjects)}
+        self.phrase = phrase[order]
+        self.subject = np.array([place[s] for s in rows.column("subject").to_pylist()], np.int64)[order]
+        self.points = (rows.column("strength").to_numpy() ** 2)[order]
+        self.subjects = subjects
+
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(documents by subjects: sentences that speak of it, whether the document keeps it)."""
+        nested = batch.column("sentences")
+        inner = nested.flatten()
+        lengths = np.diff(inner.offsets.to_numpy())
+        phrase = inner.flatten().to_numpy(zero_copy_only=False)
+        document = np.repeat(np.arange(batch.num_rows), np.diff(nested.offsets.to_numpy()))
+        k = len(self.subjects)
+        counts = np.zeros((batch.num_rows, k), np.int64)
+        if len(phrase) and len(self.phrase):
+            at = np.searchsorted(self.phrase, phrase)
+            at[at == len(self.phrase)] = 0
+            hit = self.phrase[at] == phrase
+            cell = np.repeat(np.arange(len(lengths)), lengths)[hit] * k + self.subject[at[hit]]
+            score = np.bincount(cell, self.points[at[hit]], len(lengths) * k).reshape(-1, k)
+            best = k - 1 - np.argmax(score[:, ::-1], axis=1)  # ties go to the last subject by name
+            speaks = score[np.arange(len(best)), best] > SPEAKS
+            np.add.at(counts, (document[speaks], best[speaks]), 1)
+        total = batch.column("total").to_numpy()
+        most = counts.max(axis=1, initial=0)[:, None]
+        kept = (counts > 0) & (counts >= SHARE * most) & ((counts >= FEWEST) | (total == 1)[:, None])
+        return counts, kept
+
+
+def _spread(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the unlabelled documents pass on, summed by phrase and subject, and a checksum of all labels under phrase null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, kept = model.counts(batch)
+            free = ~batch.column("seed").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            d, s = np.nonzero(kept & free[:, None])
+            with np.errstate(over="ignore"):
+                mixed = (ids[d].astype(np.uint64) * np.uint64(64) + s.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                mark = int((mixed ^ (mixed >> np.uint64(29))).sum() >> np.uint64(24)) if len(d) else 0
+            weight = np.where(kept, counts, 0).astype(float)
+            sure = free & (counts.max(axis=1, initial=0) >= SURE)
+            weight *= sure[:, None]
+            weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1)
+            nested = batch.column("sentences")
+            inner = nested.flatten()
+            owner = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(nested.offsets.to_numpy())), np.diff(inner.offsets.to_numpy()))
+            phrase = inner.flatten().to_numpy(zero_copy_only=False)
+            some = sure[owner]
+            phrase, owner = phrase[some], owner[some]
+            order = np.lexsort((owner, phrase))
+            phrase, owner = phrase[order], owner[order]
+            first = np.ones(len(phrase), bool)
+            first[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
+            phrase, owner = phrase[first], owner[first]
+            names, begin = np.unique(phrase, return_index=True)
+            sums = np.add.reduceat(weight[owner], begin) if len(names) else np.zeros((0, len(model.subjects)))
+            p, s = np.nonzero(sums)
+            subject = [model.subjects[i] for i in s]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names[p].tolist(), None], pa.int64()), pa.array([*subject, None], pa.string()), pa.array([*sums[p, s].tolist(), float(mark)])], names=["phrase", "subject", "weight"]
+            )
 
-    Cues join as entries without a subject. One shuffle by document serves every aggregation
-    after it, those of ``_document_subjects`` included.
-    """
+    return run
+
+
+def _labels(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(doc_id, subject)`` of the unlabelled documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, kept = model.counts(batch)
+            d, s = np.nonzero(kept & ~batch.column("seed").to_numpy(zero_copy_only=False)[:, None])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array([model.subjects[i] for i in s], pa.string())], names=["doc_id", "subject"])
+
+    return run
+
+
+# --- the same by joins, for models of any size ------------------------------------------------------
+
+
+def _sentence_subjects(table: DataFrame, model: DataFrame, keep: float, cues: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, n, subject)``: the strongest subject of each sentence that has one and no cue; cues join as entries without a subject."""
     entries = model.select("phrase", "subject", "strength")
     if cues is not None:
         entries = entries.unionByName(cues.select("phrase", F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("strength")))
-    long = table.select("doc_id", "n", F.explode("phrases").alias("phrase"))
-    hits = long.join(bounded_broadcast(entries, BROADCAST_ROWS), "phrase").select("doc_id", "n", "subject", "strength").repartition("doc_id")
-    scores = hits.groupBy("doc_id", "n", "subject").agg(F.sum(F.col("strength") * F.col("strength")).alias("score"))
-    subject = F.col("subject")
-    best = scores.groupBy("doc_id", "n").agg(F.max(F.when(subject.isNotNull(), F.struct("score", "subject"))).alias("best"), F.bool_or(subject.isNull()).alias("passing"))
+    long = table.select("doc_id", F.posexplode("sentences").alias("n", "ps")).select("doc_id", "n", F.explode("ps").alias("phrase"))
+    scores = long.join(entries, "phrase").groupBy("doc_id", "n", "subject").agg(F.sum(F.col("strength") * F.col("strength")).alias("score"))
+    named = F.col("subject").isNotNull()
+    best = scores.groupBy("doc_id", "n").agg(F.max(F.when(named, F.struct("score", "subject"))).alias("best"), F.bool_or(~named).alias("passing"))
     return best.where(~F.col("passing") & (F.col("best.score") > keep)).select("doc_id", "n", F.col("best.subject").alias("subject"))
 
 
-def _document_subjects(found: DataFrame) -> DataFrame:
-    """``(doc_id, subject, count)`` of the subjects with enough of the strongest one's sentences."""
-    counts = found.groupBy("doc_id", "subject").count()
-    top = Window.partitionBy("doc_id")
-    return counts.withColumn("most", F.max("count").over(top)).where(F.col("count") >= SHARE * F.col("most"))
+def _document_subjects(table: DataFrame, model: DataFrame, cues: DataFrame | None) -> DataFrame:
+    """``(doc_id, subject, count, most)`` of the subjects that unlabelled documents keep."""
+    free = table.where(~F.col("seed"))
+    counts = _sentence_subjects(free, model, SPEAKS, cues).groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("count"))
+    alone = free.where("total = 1").select(F.col("doc_id").alias("__d"))
+    counted = counts.withColumn("most", F.max("count").over(Window.partitionBy("doc_id"))).join(alone, F.col("doc_id") == F.col("__d"), "left")
+    return counted.where((F.col("count") >= SHARE * F.col("most")) & ((F.col("count") >= FEWEST) | F.col("__d").isNotNull())).drop("__d")
+
+
+# --- propagation ----------------------------------------------------------------------------------
+
+
+def _array(rows: DataFrame, order: Column | None = None) -> np.ndarray | None:
+    """The phrases of a table of up to BROADCAST_ROWS rows, sorted; of a larger one the first by ``order``, or None without it."""
+    if order is not None:
+        rows = rows.orderBy(order).limit(BROADCAST_ROWS)
+    got = rows.select("phrase").limit(BROADCAST_ROWS + 1).toArrow().column("phrase").to_numpy()
+    return np.sort(got) if len(got) <= BROADCAST_ROWS else None
 
 
 def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame:
@@ -179,32 +319,74 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
     Null, empty and blank texts, and texts that are about none of the subjects, give no row;
     without labels nothing can be learned and the result is empty.
     """
-    table = stash(documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(_phrases, TABLE), "sentences")
-    seeds = subject_labels.select("doc_id", "subject").dropna().distinct()
-    size: Column = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    seeds = stash(seeds.withColumn("weight", 1 / size), "seeds")
-    seeded = stash(table.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"), "seeded")
-
-    learned = stash(strengths(_weights(seeded, seeds)), "learned")
-    model = learned.where("strength > 0")
-    barred = learned.where((F.col("strength") == 0) & (F.col("total") >= BARRED)).select("phrase")
-
-    topical = _sentence_subjects(seeded, model, None, 0.1)
+    with scratch():
+        seeds = subject_labels.select("doc_id", "subject").dropna().distinct()
+        size: Column = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+        seeds = stash(seeds.withColumn("weight", 1 / size), "seeds")
+        ids = seeds.select("doc_id").distinct().withColumn("seed", F.lit(True))
+        ids = bounded_broadcast(ids, BROADCAST_ROWS)
+        subjects = [r[0] for r in seeds.select("subject").distinct().orderBy("subject").collect()]  # the names of the subjects
+        texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+        none = np.empty(0, np.int64)
+        seeded = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(_reader(none, none), TABLE), "seeded")
+
+        seed_weights = stash(_weights(seeded, seeds), "seed-weights")
+        learned = stash(strengths(seed_weights), "learned")
+        model = learned.where("strength > 0").select("phrase", "subject", "strength")
+        barred = learned.where((F.col("strength") == 0) & (F.col("total") >= BARRED)).select("phrase", "total")
+        cues = stash(_cues(seeded, seeds, model), "cues")
+
+        # the commonest barred phrases aren't even written; the others are refused whenever a model is made
+        skip, dropped = _array(barred, F.col("total").desc()), _array(cues)
+        table = texts.mapInArrow(_reader(skip, none if dropped is None else dropped), TABLE)
+        table = stash(table.join(ids, "doc_id", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "sentences")
+        left = cues if dropped is None else None
+
+        before = None
+        for _ in range(ROUNDS):
+            spread, mark = _passed_on(table, model, subjects, left)
+            if mark == before:
+                break
+            before = mark
+            both = seed_weights.unionByName(spread).groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
+            grown = strengths(both).where("strength > 0").join(barred.select("phrase"), "phrase", "left_anti")
+            known = model.select("phrase", F.lit(True).alias("known"))
+            grown = grown.join(known, "phrase", "left").where(F.col("known").isNotNull() | (F.col("strength") > NEW_STRENGTH))
+            model = stash(grown.select("phrase", "subject", "strength"), "model")
+        lookup = _lookup(model, subjects) if left is None else None
+        if lookup is None:
+            found = _document_subjects(table, model, left).select("doc_id", "subject")
+        else:
+            found = table.mapInArrow(_labels(lookup), "doc_id long, subject string")
+        return stash(found, "subjects", outside=True)
+
+
+def _cues(seeded: DataFrame, seeds: DataFrame, model: DataFrame) -> DataFrame:
+    """Phrases that mark passing mentions: most of the seeds' sentences with them speak of a subject that isn't the document's."""
+    topical = _sentence_subjects(seeded, bounded_broadcast(model, BROADCAST_ROWS), TOPICAL)
     own = seeds.select("doc_id", "subject", F.lit(True).alias("own"))
     judged = topical.join(own, ["doc_id", "subject"], "left").select("doc_id", "n", F.col("own").isNull().alias("passing"))
-    around = seeded.join(judged, ["doc_id", "n"]).select(F.explode("phrases").alias("phrase"), "passing")
-    rates = around.groupBy("phrase").agg(F.count_if("passing").alias("bad"), F.count(F.lit(1)).alias("all"))
+    lines = seeded.select("doc_id", F.posexplode("sentences").alias("n", "ps"))
+    rates = lines.join(judged, ["doc_id", "n"]).select(F.explode("ps").alias("phrase"), "passing").groupBy("phrase").agg(F.count_if("passing").alias("bad"), F.count(F.lit(1)).alias("all"))
     strong = model.where("strength >= 0.2").select("phrase")
-    cues = stash(rates.where((F.col("bad") >= 2) & (F.col("bad") >= 0.7 * F.col("all"))).join(strong, "phrase", "left_anti").select("phrase"), "cues")
-
-    for _ in range(ROUNDS):
-        held = _document_subjects(_sentence_subjects(table, model, cues, 0.02))
-        held = held.where(F.col("most") >= SURE).join(seeds.select("doc_id").distinct(), "doc_id", "left_anti")
-        total = F.sum("count").over(Window.partitionBy("doc_id"))
-        passed_on = held.select("doc_id", "subject", (F.col("count") / total).alias("weight"))
-        spread = _weights(table, seeds.unionByName(passed_on), barred)
-        known = model.select("phrase", F.lit(True).alias("known"))
-        grown = strengths(spread).where("strength > 0").join(known, "phrase", "left")
-        model = stash(grown.where(F.col("known").isNotNull() | (F.col("strength") > NEW_STRENGTH)).drop("known"), "model")
-    found = _document_subjects(_sentence_subjects(table, model, cues, 0.02))
-    return found.join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject")
+    return rates.where((F.col("bad") >= 2) & (F.col("bad") >= 0.7 * F.col("all"))).join(strong, "phrase", "left_anti").select("phrase")
+
+
+def _lookup(model: DataFrame, subjects: list[str]) -> Model | None:
+    """The model in arrays; None if it has more than BROADCAST_ROWS phrases."""
+    rows = model.limit(BROADCAST_ROWS + 1).toArrow()
+    return Model(rows, subjects) if rows.num_rows <= BROADCAST_ROWS else None
+
+
+def _passed_on(table: DataFrame, model: DataFrame, subjects: list[str], cues: DataFrame | None) -> tuple[DataFrame, object]:
+    """(weight that unlabelled documents pass on to phrases, a mark that changes when a label does)."""
+    lookup = _lookup(model, subjects) if cues is None else None
+    if lookup is not None:
+        out = table.mapInArrow(_spread(lookup), "phrase long, subject string, weight double").groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
+        out = stash(out, "spread")
+        return out.where("phrase is not null"), out.where("phrase is null").agg(F.sum("weight")).first()[0]
+    held = stash(_document_subjects(table, model, cues), "held")
+    mark = held.agg(F.sum(F.xxhash64("doc_id", "subject").cast("decimal(38,0)")), F.count(F.lit(1))).first()
+    sure = held.where(F.col("most") >= SURE)
+    shares = sure.select("doc_id", "subject", (F.col("count") / F.sum("count").over(Window.partitionBy("doc_id"))).alias("weight"))
+    return _weights(table, shares), mark

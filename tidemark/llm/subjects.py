@@ -50,6 +50,7 @@ SPEAKS, TOPICAL = 0.02, 0.1
 #: Model tables up to this many rows are broadcast (16 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
+_ODD = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _BROKEN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-‧€™]{2,}")
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
@@ -204,34 +205,167 @@ class Model:
         self.points = (rows.column("strength").to_numpy() ** 2)[order]
         self.subjects = subjects
 
-    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(documents by subjects: sentences that speak of it, whether the document keeps it)."""
-        nested = batch.column("sentences")
-        inner = nested.flatten()
-        lengths = np.diff(inner.offsets.to_numpy())
-        phrase = inner.flatten().to_numpy(zero_copy_only=False)
-        document = np.repeat(np.arange(batch.num_rows), np.diff(nested.offsets.to_numpy()))
+    def best(self, phrase: np.ndarray, number: np.ndarray, sentences: int) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest subject of each sentence and its score; ties go to the last subject by name."""
         k = len(self.subjects)
-        counts = np.zeros((batch.num_rows, k), np.int64)
+        score = np.zeros((sentences, k))
         if len(phrase) and len(self.phrase):
             at = np.searchsorted(self.phrase, phrase)
             at[at == len(self.phrase)] = 0
             hit = self.phrase[at] == phrase
-            cell = np.repeat(np.arange(len(lengths)), lengths)[hit] * k + self.subject[at[hit]]
-            score = np.bincount(cell, self.points[at[hit]], len(lengths) * k).reshape(-1, k)
-            best = k - 1 - np.argmax(score[:, ::-1], axis=1)  # ties go to the last subject by name
-            speaks = score[np.arange(len(best)), best] > SPEAKS
-            np.add.at(counts, (document[speaks], best[speaks]), 1)
+            score = np.bincount(number[hit] * k + self.subject[at[hit]], self.points[at[hit]], sentences * k).reshape(-1, k)
+        best = k - 1 - np.argmax(score[:, ::-1], axis=1) if sentences else np.empty(0, np.int64)
+        return best, score[np.arange(sentences), best]
+
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(documents by subjects: sentences that speak of it, whether the document keeps it)."""
+        phrase, number, of = _flat(batch)
+        best, score = self.best(phrase, number, len(of))
+        speaks = score > SPEAKS
+        counts = np.bincount(of[speaks] * len(self.subjects) + best[speaks], minlength=batch.num_rows * len(self.subjects)).reshape(batch.num_rows, -1)
         total = batch.column("total").to_numpy()
         most = counts.max(axis=1, initial=0)[:, None]
         kept = (counts > 0) & (counts >= SHARE * most) & ((counts >= FEWEST) | (total == 1)[:, None])
         return counts, kept
 
 
-def _spread(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What the unlabelled documents pass on, summed by phrase and subject, and a checksum of all labels under phrase null."""
+#: Sums that a task holds before it sends them on.
+HELD = 1_000_000
+
+
+class _Sums:
+    """Weights by (phrase, column), added up over the batches of a task."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.parts, self.size = width, [], 0
+
+    def add(self, phrase: np.ndarray, weight: np.ndarray) -> None:
+        """Rows of weights for phrases in any order."""
+        if len(phrase):
+            names, place = np.unique(phrase, return_inverse=True)
+            sums = np.stack([np.bincount(place, weight[:, c], len(names)) for c in range(self.width)], axis=1)
+            self.parts.append((names, sums))
+            self.size += len(names)
+            if self.size > HELD and len(self.parts) > 1:
+                parts, self.parts, self.size = self.parts, [], 0
+                self.add(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]))
+
+    def full(self) -> bool:
+        return self.size > HELD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """What is held, once per phrase."""
+        parts, self.parts, self.size = self.parts, [], 0
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
+            return np.empty(0, np.int64), np.empty((0, self.width))
+        self.add(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]))
+        return self.parts.pop()
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrases, sentence of each, document of each sentence) of the column ``sentences``."""
+    nested = batch.column("sentences")
+    inner = nested.flatten()
+    lengths = np.diff(inner.offsets.to_numpy())
+    return inner.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(batch.num_rows), np.diff(nested.offsets.to_numpy()))
+
+
+def _distinct(phrase: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each phrase of each owner once."""
+    order = np.lexsort((owner, phrase))
+    phrase, owner = phrase[order], owner[order]
+    first = np.ones(len(phrase), bool)
+    first[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
+    return phrase[first], owner[first]
+
+
+_WEIGHT = "phrase long, subject string, weight double"
+
+
+def _weight_rows(sums: _Sums, subjects: list[str]) -> pa.RecordBatch:
+    names, weight = sums.take()
+    p, s = np.nonzero(weight)
+    return pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array([subjects[i] for i in s], pa.string()), pa.array(weight[p, s])], names=["phrase", "subject", "weight"])
+
+
+def _seed_labels(batch: pa.RecordBatch, subjects: list[str]) -> np.ndarray:
+    """Documents by subjects: whether the seed has it."""
+    place = {s: i for i, s in enumerate(subjects)}
+    out = np.zeros((batch.num_rows, len(subjects)), bool)
+    for i, labels in enumerate(batch.column("labels").to_pylist()):
+        out[i, [place[x] for x in labels]] = True
+    return out
+
+
+def _of_seeds(subjects: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The seeds' weight of each phrase by subject: each document counts a phrase once, and its subjects share it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(len(subjects))
+        for batch in batches:
+            phrase, number, of = _flat(batch)
+            phrase, owner = _distinct(phrase, of[number])
+            own = _seed_labels(batch, subjects)
+            sums.add(phrase, (own / np.maximum(own.sum(axis=1, keepdims=True), 1))[owner])
+            if sums.full():
+                yield _weight_rows(sums, subjects)
+        yield _weight_rows(sums, subjects)
+
+    return run
+
+
+def _passing(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(phrase, bad, all)``: the seeds' sentences of a subject with the phrase, and those whose subject isn't the document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(2)
+
+        def rows() -> pa.RecordBatch:
+            names, counts = sums.take()
+            return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(counts[:, c].astype(np.int64)) for c in (0, 1)]], names=["phrase", "bad", "all"])
+
+        for batch in batches:
+            phrase, number, of = _flat(batch)
+            best, score = model.best(phrase, number, len(of))
+            topical = score > TOPICAL
+            bad = ~_seed_labels(batch, model.subjects)[of, best]
+            some = topical[number]
+            sums.add(phrase[some], np.stack([bad[number[some]].astype(float), np.ones(some.sum())], axis=1))
+            if sums.full():
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(phrase, documents)``."""
+    sums = _Sums(1)
+
+    def rows() -> pa.RecordBatch:
+        names, counts = sums.take()
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts[:, 0].astype(np.int64))], names=["phrase", "documents"])
+
+    for batch in batches:
+        phrase, number, of = _flat(batch)
+        phrase, _ = _distinct(phrase, of[number])
+        sums.add(phrase, np.ones((len(phrase), 1)))
+        if sums.full():
+            yield rows()
+    yield rows()
+
+
+def _spread(model: Model, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the unlabelled documents pass on, summed by phrase and subject, and a checksum of all labels under phrase null.
+
+    Only phrases of ``wanted`` (sorted) get weight, unless it is None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(len(model.subjects))
+        mark = np.uint64(0)
         for batch in batches:
             counts, kept = model.counts(batch)
             free = ~batch.column("seed").to_numpy(zero_copy_only=False)
@@ -239,29 +373,23 @@ def _spread(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             d, s = np.nonzero(kept & free[:, None])
             with np.errstate(over="ignore"):
                 mixed = (ids[d].astype(np.uint64) * np.uint64(64) + s.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                mark = int((mixed ^ (mixed >> np.uint64(29))).sum() >> np.uint64(24)) if len(d) else 0
+                mark += ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(24)).sum()
             weight = np.where(kept, counts, 0).astype(float)
             sure = free & (counts.max(axis=1, initial=0) >= SURE)
-            weight *= sure[:, None]
             weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1)
-            nested = batch.column("sentences")
-            inner = nested.flatten()
-            owner = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(nested.offsets.to_numpy())), np.diff(inner.offsets.to_numpy()))
-            phrase = inner.flatten().to_numpy(zero_copy_only=False)
+            phrase, number, of = _flat(batch)
+            owner = of[number]
             some = sure[owner]
             phrase, owner = phrase[some], owner[some]
-            order = np.lexsort((owner, phrase))
-            phrase, owner = phrase[order], owner[order]
-            first = np.ones(len(phrase), bool)
-            first[1:] = (phrase[1:] != phrase[:-1]) | (owner[1:] != owner[:-1])
-            phrase, owner = phrase[first], owner[first]
-            names, begin = np.unique(phrase, return_index=True)
-            sums = np.add.reduceat(weight[owner], begin) if len(names) else np.zeros((0, len(model.subjects)))
-            p, s = np.nonzero(sums)
-            subject = [model.subjects[i] for i in s]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*names[p].tolist(), None], pa.int64()), pa.array([*subject, None], pa.string()), pa.array([*sums[p, s].tolist(), float(mark)])], names=["phrase", "subject", "weight"]
-            )
+            if wanted is not None:
+                some = _among(phrase, wanted)
+                phrase, owner = phrase[some], owner[some]
+            phrase, owner = _distinct(phrase, owner)
+            sums.add(phrase, weight[owner])
+            if sums.full():
+                yield _weight_rows(sums, model.subjects)
+        yield _weight_rows(sums, model.subjects)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([float(mark % np.uint64(1 << 40))])], names=["phrase", "subject", "weight"])
 
     return run
 
@@ -320,31 +448,33 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
     without labels nothing can be learned and the result is empty.
     """
     with scratch():
-        seeds = subject_labels.select("doc_id", "subject").dropna().distinct()
-        size: Column = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-        seeds = stash(seeds.withColumn("weight", 1 / size), "seeds")
-        ids = seeds.select("doc_id").distinct().withColumn("seed", F.lit(True))
-        ids = bounded_broadcast(ids, BROADCAST_ROWS)
-        subjects = [r[0] for r in seeds.select("subject").distinct().orderBy("subject").collect()]  # the names of the subjects
+        labels = subject_labels.select("doc_id", "subject").dropna().groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
+        seeds = stash(labels, "seeds")
+        subjects = [r[0] for r in seeds.select(F.explode("labels").alias("s")).distinct().orderBy("s").collect()]  # the names of the subjects
+        if not subjects:
+            return documents.sparkSession.createDataFrame([], "doc_id long, subject string")
+        ids = bounded_broadcast(seeds.select("doc_id", F.lit(True).alias("seed")), BROADCAST_ROWS)
         texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
         none = np.empty(0, np.int64)
-        seeded = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(_reader(none, none), TABLE), "seeded")
+        seeded = texts.join(ids, "doc_id", "left_semi").mapInArrow(_reader(none, none), TABLE).join(seeds, "doc_id")
+        seeded = stash(seeded.repartition("doc_id"), "seeded")
 
-        seed_weights = stash(_weights(seeded, seeds), "seed-weights")
+        seed_weights = stash(seeded.mapInArrow(_of_seeds(subjects), _WEIGHT).groupBy("phrase", "subject").agg(F.sum("weight").alias("weight")), "seed-weights")
         learned = stash(strengths(seed_weights), "learned")
         model = learned.where("strength > 0").select("phrase", "subject", "strength")
         barred = learned.where((F.col("strength") == 0) & (F.col("total") >= BARRED)).select("phrase", "total")
-        cues = stash(_cues(seeded, seeds, model), "cues")
+        cues = stash(_cues(seeded, model, subjects), "cues")
 
         # the commonest barred phrases aren't even written; the others are refused whenever a model is made
         skip, dropped = _array(barred, F.col("total").desc()), _array(cues)
         table = texts.mapInArrow(_reader(skip, none if dropped is None else dropped), TABLE)
         table = stash(table.join(ids, "doc_id", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "sentences")
         left = cues if dropped is None else None
+        wanted = _array(_promising(table, model)) if left is None else None
 
         before = None
         for _ in range(ROUNDS):
-            spread, mark = _passed_on(table, model, subjects, left)
+            spread, mark = _passed_on(table, model, subjects, left, wanted)
             if mark == before:
                 break
             before = mark
@@ -361,15 +491,30 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
         return stash(found, "subjects", outside=True)
 
 
-def _cues(seeded: DataFrame, seeds: DataFrame, model: DataFrame) -> DataFrame:
+def _cues(seeded: DataFrame, model: DataFrame, subjects: list[str]) -> DataFrame:
     """Phrases that mark passing mentions: most of the seeds' sentences with them speak of a subject that isn't the document's."""
-    topical = _sentence_subjects(seeded, bounded_broadcast(model, BROADCAST_ROWS), TOPICAL)
-    own = seeds.select("doc_id", "subject", F.lit(True).alias("own"))
-    judged = topical.join(own, ["doc_id", "subject"], "left").select("doc_id", "n", F.col("own").isNull().alias("passing"))
-    lines = seeded.select("doc_id", F.posexplode("sentences").alias("n", "ps"))
-    rates = lines.join(judged, ["doc_id", "n"]).select(F.explode("ps").alias("phrase"), "passing").groupBy("phrase").agg(F.count_if("passing").alias("bad"), F.count(F.lit(1)).alias("all"))
+    lookup = _lookup(model, subjects)
+    if lookup is not None:
+        counted = seeded.mapInArrow(_passing(lookup), "phrase long, bad long, all long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
+    else:
+        topical = _sentence_subjects(seeded, model, TOPICAL)
+        judged = topical.join(seeded.select("doc_id", "labels"), "doc_id").select("doc_id", "n", (~F.array_contains("labels", F.col("subject"))).alias("passing"))
+        lines = seeded.select("doc_id", F.posexplode("sentences").alias("n", "ps"))
+        said = lines.join(judged, ["doc_id", "n"]).select(F.explode("ps").alias("phrase"), "passing")
+        counted = said.groupBy("phrase").agg(F.count_if("passing").alias("bad"), F.count(F.lit(1)).alias("all"))
     strong = model.where("strength >= 0.2").select("phrase")
-    return rates.where((F.col("bad") >= 2) & (F.col("bad") >= 0.7 * F.col("all"))).join(strong, "phrase", "left_anti").select("phrase")
+    return counted.where((F.col("bad") >= 2) & (F.col("bad") >= 0.7 * F.col("all"))).join(strong, "phrase", "left_anti").select("phrase")
+
+
+def _promising(table: DataFrame, model: DataFrame) -> DataFrame:
+    """Phrases that a model can ever hold: those of the seeds' model, and those in enough documents for a new one's strength.
+
+    A phrase of weight n that agrees on one subject throughout has the bound n / (n + Z * Z).
+    """
+    bound = LEAST + (1 - LEAST) * NEW_STRENGTH
+    least = Z * Z * bound / (1 - bound)
+    often = table.mapInArrow(_frequencies, "phrase long, documents long").groupBy("phrase").agg(F.sum("documents").alias("n")).where(F.col("n") > least)
+    return often.select("phrase").unionByName(model.select("phrase")).distinct()
 
 
 def _lookup(model: DataFrame, subjects: list[str]) -> Model | None:
@@ -378,11 +523,11 @@ def _lookup(model: DataFrame, subjects: list[str]) -> Model | None:
     return Model(rows, subjects) if rows.num_rows <= BROADCAST_ROWS else None
 
 
-def _passed_on(table: DataFrame, model: DataFrame, subjects: list[str], cues: DataFrame | None) -> tuple[DataFrame, object]:
+def _passed_on(table: DataFrame, model: DataFrame, subjects: list[str], cues: DataFrame | None, wanted: np.ndarray | None) -> tuple[DataFrame, object]:
     """(weight that unlabelled documents pass on to phrases, a mark that changes when a label does)."""
     lookup = _lookup(model, subjects) if cues is None else None
     if lookup is not None:
-        out = table.mapInArrow(_spread(lookup), "phrase long, subject string, weight double").groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
+        out = table.mapInArrow(_spread(lookup, wanted), _WEIGHT).groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
         out = stash(out, "spread")
         return out.where("phrase is not null"), out.where("phrase is null").agg(F.sum("weight")).first()[0]
     held = stash(_document_subjects(table, model, cues), "held")

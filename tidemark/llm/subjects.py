@@ -217,17 +217,6 @@ class Model:
         best = k - 1 - np.argmax(score[:, ::-1], axis=1) if sentences else np.empty(0, np.int64)
         return best, score[np.arange(sentences), best]
 
-    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(documents by subjects: sentences that speak of it, whether the document keeps it)."""
-        phrase, number, of = _flat(batch)
-        best, score = self.best(phrase, number, len(of))
-        speaks = score > SPEAKS
-        counts = np.bincount(of[speaks] * len(self.subjects) + best[speaks], minlength=batch.num_rows * len(self.subjects)).reshape(batch.num_rows, -1)
-        total = batch.column("total").to_numpy()
-        most = counts.max(axis=1, initial=0)[:, None]
-        kept = (counts > 0) & (counts >= SHARE * most) & ((counts >= FEWEST) | (total == 1)[:, None])
-        return counts, kept
-
 
 #: Sums that a task holds before it sends them on.
 HELD = 1_000_000
@@ -357,14 +346,72 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _spread(model: Model, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What the unlabelled documents pass on, summed by phrase and subject, and a checksum of all labels under phrase null.
+#: The table of rounds: phrases as places in the list of those that a model can hold.
+CODED = "doc_id long, seed boolean, total int, lengths array<int>, codes array<int>, own array<int>"
 
-    Only phrases of ``wanted`` (sorted) get weight, unless it is None.
-    """
+
+def _coded(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The table with phrases of ``wanted`` (sorted) only: for each sentence left their number, all of them, and the document's distinct ones."""
+
+    def lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(len(model.subjects))
+        for batch in batches:
+            phrase, number, of = _flat(batch)
+            known = _among(phrase, wanted)
+            code, number = np.searchsorted(wanted, phrase[known]), number[known]
+            filled, lengths = np.unique(number, return_counts=True)
+            owner = of[number]
+            mine, whose = _distinct(code, owner)
+            order = np.argsort(whose, kind="stable")
+            columns = [lists(lengths, of[filled], batch.num_rows), lists(code, owner, batch.num_rows), lists(mine[order], whose[order], batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seed"), batch.column("total"), *columns], names=["doc_id", "seed", "total", "lengths", "codes", "own"])
+
+    return run
+
+
+class Coded:
+    """A model over the places of the list ``wanted``."""
+
+    def __init__(self, model: Model, wanted: np.ndarray) -> None:
+        self.subjects, self.wanted = model.subjects, wanted
+        self.subject, self.points = np.zeros(len(wanted), np.int64), np.zeros(len(wanted))
+        at = np.searchsorted(wanted, model.phrase)
+        self.subject[at], self.points[at] = model.subject, model.points
+
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(documents by subjects: sentences that speak of it, whether the document keeps it)."""
+        lengths = batch.column("lengths")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(lengths.offsets.to_numpy()))
+        number = np.repeat(np.arange(len(of)), lengths.flatten().to_numpy())
+        code = batch.column("codes").flatten().to_numpy()
+        k = len(self.subjects)
+        score = np.bincount(number * k + self.subject[code], self.points[code], len(of) * k).reshape(-1, k)
+        return _kept(score, of, batch)
+
+
+def _kept(score: np.ndarray, of: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of sentences by subject, and what a document keeps, from the sentences' scores; ties go to the last subject by name."""
+    k = score.shape[1]
+    best = k - 1 - np.argmax(score[:, ::-1], axis=1) if len(score) else np.empty(0, np.int64)
+    speaks = score[np.arange(len(score)), best] > SPEAKS
+    counts = np.bincount(of[speaks] * k + best[speaks], minlength=batch.num_rows * k).reshape(batch.num_rows, -1)
+    total = batch.column("total").to_numpy()
+    most = counts.max(axis=1, initial=0)[:, None]
+    return counts, (counts > 0) & (counts >= SHARE * most) & ((counts >= FEWEST) | (total == 1)[:, None])
+
+
+_SHARES = "phrase long, weights array<double>"
+
+
+def _spread(model: Coded) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the unlabelled documents pass on: weights by subject for each phrase, and a checksum of all labels under phrase null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(model.subjects)
+        sums = np.zeros((k, len(model.wanted)))
         mark = np.uint64(0)
         for batch in batches:
             counts, kept = model.counts(batch)
@@ -375,26 +422,23 @@ def _spread(model: Model, wanted: np.ndarray | None) -> Callable[[Iterator[pa.Re
                 mixed = (ids[d].astype(np.uint64) * np.uint64(64) + s.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 mark += ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(24)).sum()
             weight = np.where(kept, counts, 0).astype(float)
-            sure = free & (counts.max(axis=1, initial=0) >= SURE)
+            weight[~(free & (counts.max(axis=1, initial=0) >= SURE))] = 0
             weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1)
-            phrase, number, of = _flat(batch)
-            owner = of[number]
-            some = sure[owner]
-            phrase, owner = phrase[some], owner[some]
-            if wanted is not None:
-                some = _among(phrase, wanted)
-                phrase, owner = phrase[some], owner[some]
-            phrase, owner = _distinct(phrase, owner)
-            sums.add(phrase, weight[owner])
-            if sums.full():
-                yield _weight_rows(sums, model.subjects)
-        yield _weight_rows(sums, model.subjects)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([float(mark % np.uint64(1 << 40))])], names=["phrase", "subject", "weight"])
+            own = batch.column("own")
+            code, owner = own.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
+            for c in range(k):
+                some = weight[owner, c] > 0
+                sums[c] += np.bincount(code[some], weight[owner[some], c], len(model.wanted))
+        there = np.flatnonzero(sums.any(axis=0))
+        values = np.concatenate([sums[:, there].T.reshape(-1), [float(mark % np.uint64(1 << 40))]])
+        ends = np.append(np.arange(len(there) + 1) * k, len(there) * k + 1).astype(np.int32)
+        phrase = pa.array([*model.wanted[there].tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([phrase, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["phrase", "weights"])
 
     return run
 
 
-def _labels(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _labels(model: Coded) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``(doc_id, subject)`` of the unlabelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,10 +515,12 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
         table = stash(table.join(ids, "doc_id", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "sentences")
         left = cues if dropped is None else None
         wanted = _array(_promising(table, model)) if left is None else None
+        coded = stash(table.mapInArrow(_coded(wanted), CODED), "coded") if wanted is not None else None
 
         before = None
         for _ in range(ROUNDS):
-            spread, mark = _passed_on(table, model, subjects, left, wanted)
+            lookup = _lookup(model, subjects) if coded is not None else None
+            spread, mark = _passed_on(table, model, left) if lookup is None else _looked_up(coded, Coded(lookup, wanted))
             if mark == before:
                 break
             before = mark
@@ -483,11 +529,11 @@ def found_subjects(documents: DataFrame, subject_labels: DataFrame) -> DataFrame
             known = model.select("phrase", F.lit(True).alias("known"))
             grown = grown.join(known, "phrase", "left").where(F.col("known").isNotNull() | (F.col("strength") > NEW_STRENGTH))
             model = stash(grown.select("phrase", "subject", "strength"), "model")
-        lookup = _lookup(model, subjects) if left is None else None
+        lookup = _lookup(model, subjects) if coded is not None else None
         if lookup is None:
             found = _document_subjects(table, model, left).select("doc_id", "subject")
         else:
-            found = table.mapInArrow(_labels(lookup), "doc_id long, subject string")
+            found = coded.mapInArrow(_labels(Coded(lookup, wanted)), "doc_id long, subject string")
         return stash(found, "subjects", outside=True)
 
 
@@ -523,13 +569,18 @@ def _lookup(model: DataFrame, subjects: list[str]) -> Model | None:
     return Model(rows, subjects) if rows.num_rows <= BROADCAST_ROWS else None
 
 
-def _passed_on(table: DataFrame, model: DataFrame, subjects: list[str], cues: DataFrame | None, wanted: np.ndarray | None) -> tuple[DataFrame, object]:
+def _looked_up(coded: DataFrame, model: Coded) -> tuple[DataFrame, object]:
     """(weight that unlabelled documents pass on to phrases, a mark that changes when a label does)."""
-    lookup = _lookup(model, subjects) if cues is None else None
-    if lookup is not None:
-        out = table.mapInArrow(_spread(lookup, wanted), _WEIGHT).groupBy("phrase", "subject").agg(F.sum("weight").alias("weight"))
-        out = stash(out, "spread")
-        return out.where("phrase is not null"), out.where("phrase is null").agg(F.sum("weight")).first()[0]
+    each = coded.mapInArrow(_spread(model), _SHARES)
+    summed = each.groupBy("phrase").agg(*[F.sum(F.get("weights", F.lit(i))).alias(f"w{i}") for i in range(len(model.subjects))])
+    out = stash(summed, "spread")
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.col(f"w{i}").alias("weight")) for i, s in enumerate(model.subjects)]))
+    mark = out.where("phrase is null").select("w0").first()
+    return out.where("phrase is not null").select("phrase", rows.alias("x")).select("phrase", "x.subject", "x.weight").where("weight > 0"), mark
+
+
+def _passed_on(table: DataFrame, model: DataFrame, cues: DataFrame | None) -> tuple[DataFrame, object]:
+    """The same for a model of any size."""
     held = stash(_document_subjects(table, model, cues), "held")
     mark = held.agg(F.sum(F.xxhash64("doc_id", "subject").cast("decimal(38,0)")), F.count(F.lit(1))).first()
     sure = held.where(F.col("most") >= SURE)

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings, strategies as st
 
 from tests.postings import postings
-from tidemark.llm.canonical import Places, Titles, Trie, fold, found_canonical, near_enough
+from tidemark.llm.canonical import Places, Titles, Trie, all_matches, fold, found_canonical, near_enough
 
 PLACES = [(1, "Graz", "Austria", "AT", []), (2, "Innsbruck", "Austria", "AT", ["IBK"]), (3, "Århus", "Denmark", "DK", ["Aarhus"]), (4, "Porto", "Portugal", "PT", ["Oporto"]), (5, "San Remo", "Italy", "IT", ["SR"])]
 TITLES = [(1, "Stone Mason", []), (2, "Night Nurse", ["Staff Carer"]), (3, "Data Keeper", ["DK Keeper"]), (4, "Boiler Engineer", [])]
@@ -73,3 +73,17 @@ def test_one_edit_in_a_name_of_five_letters_or_more_is_found():
             right += places.find("".join(c)) == ref
             total += 1
     assert right == total and fold("København ÅÄ ﬁ") == "kobenhavn aa fi"
+
+
+def test_long_values_are_read_whole(spark):
+    places = Places(PLACES)
+    titles = Titles(TITLES, places)
+    assert places.find("(" + "x" * 5000 + ") Graz, Austria") == 1 and places.find(", " * 3000 + "Insbruck") == 2
+    assert titles.find("#7 " * 2000 + "Stone Mason") == 1 and titles.find("(" + "9" * 5000 + ") Night Nurse") == 2
+
+
+def test_all_entries_within_the_distance_are_reported(spark):
+    places = spark.createDataFrame([*PLACES, (6, "Gras", "France", "FR", []), (7, "Grau", "Spain", "ES", [])], "place_id int, city string, country string, iso2 string, alt_names array<string>")
+    rows = postings(spark, [{"location": "graz"}, {"location": "graz"}, {"location": "Grat"}, {"location": "Nowhere"}])
+    got = {(r.value, r.ref_id): (r.n, r.distance, r.ties) for r in all_matches(rows, places, tables(spark)[1]).collect()}
+    assert got == {("graz", 1): (2, 0, 1), ("graz", 6): (2, 1, 2), ("graz", 7): (2, 1, 2), ("Grat", 1): (1, 1, 3), ("Grat", 6): (1, 1, 3), ("Grat", 7): (1, 1, 3), ("Nowhere", 0): (1, None, None)}

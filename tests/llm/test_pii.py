@@ -80,3 +80,24 @@ def test_query(spark):
     hidden = {r.posting_no: r for r in redacted(df).collect()}
     assert "@" not in hidden[123].recruiter_email and hidden[121].description == "" and hidden[122].description is None
     assert found_mentions(postings(spark, [])).count() == 0
+
+
+def test_names_of_every_script_are_candidates():
+    for name in ("Łukasz Nowak", "Šimon Dvořák", "Şebnem Yılmaz", "Иван Петров", "Ελένη Παππά", "Anna Ōta"):
+        text = f"Hiring manager: {name}."
+        assert [text[n.start : n.end] for n in candidates(text, None, "description") if "person_name" in n.labels] == [name]
+
+
+def test_long_mentions_are_found_whole():
+    local = "a" + ".b" * 200
+    text = f"Write to {local}@firm.example or visit us at {'Sehr' * 30}straße 5."
+    found = {n.labels[-1]: text[n.start : n.end] for n in candidates(text, None, "description")}
+    assert found["email"] == f"{local}@firm.example" and found["street_address"] == f"{'Sehr' * 30}straße 5"
+    assert any(text[n.start : n.end] for n in candidates("Identity number on file: " + "12 " * 12 + "1", None, "description"))
+
+
+def test_similar_tokens_share_a_skip_edge():
+    text = "Mr. Jan Müller-Ost sits here. " + "x " * 60 + "Ask Jan Mullerost or call +49 30 23125321. " + "y " * 60 + "Call 030 23125321."
+    nodes = candidates(text, None, "description")
+    skips = {(text[nodes[i].start : nodes[i].end], text[nodes[j].start : nodes[j].end]) for i, j, kind in Field.edges(nodes, text) if kind != "over"}
+    assert any("Müller-Ost" in a and "Mullerost" in b for a, b in skips) and any(a.endswith("23125321") and b.endswith("23125321") for a, b in skips)

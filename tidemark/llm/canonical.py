@@ -5,8 +5,9 @@ trie. A value is reduced to its core (decorations that don't change its meaning
 and the trie is walked with a universal Levenshtein automaton with transpositions: a state is
 the band of edit distances around the diagonal, the input is the match vector of one trie
 character against the core, and transitions are memoised, so they are shared by all values.
-All entries within a distance that depends on the core's length are returned; the nearest
-wins. Work is done once per distinct value.
+All entries within a distance that depends on the core's length are returned (``p4_matches``); the
+nearest wins (``p4_found``). Values are read whole; a core longer than the longest path and the edits
+allowed can match nothing, so only shorter ones are searched. Work is done once per distinct value.
 """
 
 from __future__ import annotations
@@ -14,16 +15,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.identity import PLACEHOLDERS
 
 #: Refuse reference lists that would not fit every worker's memory.
 MAX_ENTRIES = 200_000
-MAX_VALUE = 300
 
 # Letters that compatibility decomposition leaves alone, and their plain spelling.
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
@@ -112,8 +112,10 @@ class Trie:
 
     def __init__(self, paths: Iterable[tuple[str, int]]) -> None:
         self.root: dict = {}
+        self.longest = 0
         for text, ref in paths:
             if text:
+                self.longest = max(self.longest, len(text))
                 node = self.root
                 for c in text:
                     node = node.setdefault(c, {})
@@ -130,19 +132,24 @@ class Trie:
         return node.get("", ("", set()))[1]
 
     def search(self, text: str) -> dict[int, int]:
+        """The entries that ``text`` spells, else all within the distance allowed for it, with their distance."""
+        return {ref: 0 for ref in self.exact(text)} or self.within(text)
+
+    def within(self, text: str) -> dict[int, int]:
         """All entries within the distance allowed for ``text``, with their distance."""
         if text in self.seen:
             return self.seen[text]
         out = {ref: 0 for ref in self.exact(text)}
-        k = limit(len(text))
-        if not out and k and len(text) <= MAX_VALUE:
+        k, n = limit(len(text)), len(text)
+        if n > self.longest + k:
+            return out
+        if k:
             auto = self.automata.setdefault(k, Automaton(k))
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << (i + k + 2)  # position 1 sits at bit k + 2
             window = (1 << (2 * k + 3)) - 1
             stack = [(self.root, auto.start, 0)]
-            n = len(text)
             while stack:
                 node, state, depth = stack.pop()
                 for c, child in node.items():
@@ -165,6 +172,14 @@ def _nearest(hits: dict[int, int]) -> tuple[int, int]:
     return min(((d, ref) for ref, d in hits.items()), default=(99, 0))
 
 
+def _merged(every: Iterable[dict[int, int]]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for hits in every:
+        for ref, d in hits.items():
+            out[ref] = min(d, out.get(ref, d))
+    return out
+
+
 class Places:
     """Cities by name and country."""
 
@@ -188,22 +203,25 @@ class Places:
 
     def find(self, value: str) -> int:
         """The place a value names, or 0."""
-        t = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", value[:MAX_VALUE])
+        return min((_nearest(hits) for hits in self._hits(value, self.trie.search)), default=(99, 0))[1]
+
+    def matches(self, value: str) -> dict[int, int]:
+        """Every place within the distance of some reading of a value, with the least distance."""
+        return _merged(self._hits(value, self.trie.within))
+
+    def _hits(self, value: str, search: Callable[[str], dict[int, int]]) -> Iterator[dict[int, int]]:
+        t = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", " ", value)
         t = re.sub(r"\b\d{4,}\b", " ", t)
         parts = [fold(p) for p in re.split(r"[,/;|]| - | – ", t)]
         parts = [re.sub(r"^(?:remote(?: in)?|hybrid|onsite|on site|near|greater|around|central|downtown|city of) (?=.)", "", p) for p in parts if p]
         parts = [re.sub(r"(?<=.) (?:area|city centre|city center|metropolitan area|metro|region|suburbs|remote|hybrid|on site)$", "", p) for p in parts]
-        best = (99, 0)
         where = {self.countries[p] for p in parts if p in self.countries}
         for p in dict.fromkeys(parts + [" ".join(parts)]):
             for q in (p, *([] if " " not in p else self._without_country(p))):
                 if p in self.countries and not self.trie.exact(p) or q in ("remote", "various", "hybrid"):
                     continue
-                hits = self.trie.search(q)
-                if where:
-                    hits = {r: d for r, d in hits.items() if self.country[r] in where}
-                best = min(best, _nearest(hits))
-        return best[1]
+                hits = search(q)
+                yield {r: d for r, d in hits.items() if self.country[r] in where} if where else hits
 
     def _without_country(self, part: str) -> list[str]:
         words = part.split(" ")
@@ -230,8 +248,20 @@ class Titles:
         return " ".join(SHORT.get(w, w) for w in fold(text).split())
 
     def find(self, value: str) -> int:
-        """The role a title names, or 0."""
-        t = value[:MAX_VALUE].split("|")[0].split("@")[0]
+        """The role a title names, or 0; the first reading that spells an entry decides."""
+        best = (99, 0)
+        for core in self._cores(value):
+            best = min(best, _nearest(self.trie.search(core)))
+            if best[0] == 0:
+                break
+        return best[1]
+
+    def matches(self, value: str) -> dict[int, int]:
+        """Every role within the distance of some reading of a title, with the least distance."""
+        return _merged(map(self.trie.within, self._cores(value)))
+
+    def _cores(self, value: str) -> list[str]:
+        t = value.split("|")[0].split("@")[0]
         t = re.sub(r"#\s*\d+", " ", t)
         t = re.sub(r"\((?:[^)]*\d[^)]*|m/f/d|m/w/d|f/m/d|all genders|remote|hybrid|full[- ]?time|part[- ]?time|contract(?= )[^)]*)\)", " ", t, flags=re.I)
         pieces = [p for p in re.split(r"\s*[,;:()\[\]]\s*|\s+[-–—]\s+", t)]
@@ -251,12 +281,7 @@ class Titles:
                 cores += [" ".join(parts[1:] + parts[:1]), parts[0]]
             if len(parts) > 2:
                 cores += [" ".join(parts[:-1]), parts[1] + " " + parts[0]]
-        best = (99, 0)
-        for c in dict.fromkeys(cores):
-            best = min(best, _nearest(self.trie.search(c)))
-            if best[0] == 0:
-                break
-        return best[1]
+        return list(dict.fromkeys(cores))
 
     def _is_place(self, text: str) -> bool:
         return bool(self.places.trie.exact(text)) or text in self.places.countries
@@ -269,35 +294,54 @@ def _reference(df: DataFrame, *columns: str) -> list[tuple]:
     return rows
 
 
-def found_canonical(postings: DataFrame, places: DataFrame, role_titles: DataFrame) -> DataFrame:
-    """``(posting_no, field, ref_id)`` of every value that isn't written as the list has it.
+def _values(postings: DataFrame, places: DataFrame, role_titles: DataFrame) -> DataFrame:
+    """``(posting_no, field, value)`` of every value that isn't written as the list has it; nulls, blanks and null-like tokens are left out."""
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+    long = postings.select("posting_no", F.explode(F.array(pair("location"), pair("title"))).alias("p")).select("posting_no", "p.field", "p.value")
+    bare = F.lower(F.regexp_replace("value", r"^[\s ]+|[\s ]+$", ""))
+    long = long.where(F.col("value").isNotNull() & ~bare.isin(*PLACEHOLDERS))
+    listed = places.select(F.lit("location").alias("field"), F.concat_ws(", ", "city", "country").alias("value")).unionByName(
+        role_titles.select(F.lit("title").alias("field"), F.col("title").alias("value"))
+    )
+    return long.join(listed, ["field", "value"], "left_anti")
 
-    Nulls, blanks and null-like tokens give no row; 0 reports a value that names no entry.
-    Values are read up to their first 300 characters of core, which is far beyond any entry.
-    Each distinct value is searched once and joined back.
-    """
-    spark = postings.sparkSession
+
+def _searched(values: DataFrame, places: DataFrame, role_titles: DataFrame, answer: Callable[[object, str], list[tuple[int, int]]]) -> DataFrame:
+    """``(field, value, n, ref_id, distance)``: what ``answer`` says of each distinct value, once."""
     place_rows = _reference(places, "place_id", "city", "country", "iso2", "alt_names")
     title_rows = _reference(role_titles, "role_id", "title", "alt_titles")
-    shared = spark.sparkContext.broadcast((place_rows, title_rows))  # at most MAX_ENTRIES each
+    shared = values.sparkSession.sparkContext.broadcast((place_rows, title_rows))  # at most MAX_ENTRIES each
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_places = Places(shared.value[0])
         known_titles = Titles(shared.value[1], known_places)
-        schema = pa.schema([("field", pa.string()), ("value", pa.string()), ("ref_id", pa.int64())])
         for batch in batches:
-            fields, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            refs = [(known_places if f == "location" else known_titles).find(v) for f, v in zip(fields, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(refs, pa.int64())], schema=schema)
+            fields, texts = batch.column("field").to_pylist(), batch.column("value").to_pylist()
+            found = [(i, *hit) for i, (f, v) in enumerate(zip(fields, texts)) for hit in answer(known_places if f == "location" else known_titles, v)]
+            at, refs, distances = zip(*found) if found else ((), (), ())
+            rows = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(refs, pa.int64()), pa.array(distances, pa.int32())], names=["field", "value", "n", "ref_id", "distance"])
 
-    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
-    long = postings.select("posting_no", F.explode(F.array(pair("location"), pair("title"))).alias("p")).select("posting_no", "p.field", "p.value")
-    bare = F.lower(F.regexp_replace("value", r"^[\s ]+|[\s ]+$", ""))
-    long = long.where(F.col("value").isNotNull() & ~bare.isin(*PLACEHOLDERS))
-    listed = places.select(F.lit("location").alias("field"), F.concat_ws(", ", "city", "country").alias("value")).unionByName(
-        role_titles.select(F.lit("title").alias("field"), F.col("title").alias("value"))
-    )
-    long = long.join(listed, ["field", "value"], "left_anti")
-    distinct = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).select("field", "value")
-    answers = distinct.mapInArrow(search, "field string, value string, ref_id long")
+    distinct = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.mapInArrow(search, "field string, value string, n long, ref_id long, distance int")
+
+
+def found_canonical(postings: DataFrame, places: DataFrame, role_titles: DataFrame) -> DataFrame:
+    """``(posting_no, field, ref_id)`` of every value that isn't written as the list has it.
+
+    Nulls, blanks and null-like tokens give no row; 0 reports a value that names no entry. Values of any
+    length are read whole. Each distinct value is searched once and joined back.
+    """
+    long = _values(postings, places, role_titles)
+    answers = _searched(long, places, role_titles, lambda known, value: [(known.find(value), 0)]).select("field", "value", "ref_id")
     return long.join(answers, ["field", "value"]).select("posting_no", "field", "ref_id")
+
+
+def all_matches(postings: DataFrame, places: DataFrame, role_titles: DataFrame) -> DataFrame:
+    """``(field, value, n, ref_id, distance, ties)``: every entry within the distance of each distinct value, of which ``n`` rows have it.
+
+    ``ties`` counts the entries at the same distance; a value without any is reported with ref_id 0 and null.
+    """
+    found = _searched(_values(postings, places, role_titles), places, role_titles, lambda known, value: sorted(known.matches(value).items()) or [(0, -1)])
+    ties = F.count(F.lit(1)).over(Window.partitionBy("field", "value", "distance"))  # at most the reference list
+    return found.select("field", "value", "n", "ref_id", F.when(F.col("distance") >= 0, F.col("distance")).alias("distance"), F.when(F.col("distance") >= 0, ties).alias("ties"))

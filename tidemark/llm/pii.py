@@ -6,8 +6,8 @@ street address and every pair of capitalised words is a node; all other text is
 construction, which keeps exact spans and a small graph. A node's label is outside or one of
 the types its form allows. Its potential adds up the weights of its features: form, the words
 around it, name parts, the row's company. Neighbouring nodes of one line share a chain
-potential (overlapping ones exclude each other) and distant nodes that repeat a token share a
-skip potential; loopy sum-product message passing gives the marginals, so that the same name or
+potential (overlapping ones exclude each other) and distant nodes that repeat a token, or have a
+similar one (accents and hyphens apart, the last digits of a number), share a skip potential; loopy sum-product message passing gives the marginals, so that the same name or
 number gets one label throughout a document.
 
 The weights are trained here by an averaged structured perceptron on a bounded sample of rows
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,6 +35,19 @@ CERTAIN = 6.0
 FIELDS = ("description", "source_description", "recruiter_email")
 OUT = "o"
 
+
+
+def _letters(category: str) -> str:
+    """The letters of a Unicode category as ranges of a character class."""
+    codes = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == category]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: Capital and small letters of every script that has them.
+_UP, _LOW = _letters("Lu"), _letters("Ll")
+
 # How the signs in an e-mail address are written or disguised.
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|DOT|\.)\s?[)\]}>]\s?|\sDOT\s|\sdot\s)"
 #: The sign between local part and domain; an address is read from it in both directions.
@@ -44,14 +59,14 @@ NUMBER = re.compile(
     r"|(?P<run>(?:\+|\()?\d(?:[\d\s().\-/–]{5,}\d|[\d\s().\-/–]{4,}\d)(?P<tail>[A-Za-z]?)(?![\w])))"
 )
 _ROAD = r"(?:Ave(?:nue)?|Road|Rd|Street|St|Lane|Ln|Close|Marg|Parade|Drive|Dr|Way|Court|Ct|Square|Sq|Terrace|Boulevard|Blvd|Place|Crescent|Row|Gardens|Mews|Nagar|Highway|Hwy)"
-_WORD = r"[A-ZÀ-Þ][\w'’-]*"
+_WORD = rf"[{_UP}][\w'’-]*"
 _NAMED = "House|Plot|Flat|Unit|Apt|Apt\\.|Apartment|Villa|Block|Office|Shop"
 _BOX = "P\\.O\\. Box|P\\.O\\.Box|P\\. O\\. Box|PO Box|POB|Postfach|Apartado"
 _SPANISH = "Calle|Avenida|Avda\\.|Plaza|Paseo|Rue|Via|Camino|Carrer|C/"
 _both = lambda words: f"{words}|{words.upper()}"  # noqa: E731  as written and in capitals
-_SAME_LINE = re.compile(r"(?: (?:[A-ZÀ-Þ]\w*|\d+\w*))*")
+_SAME_LINE = re.compile(rf"(?: (?:[{_UP}]\w*|\d+\w*))*")
 #: What may follow the first line of an address.
-_REST = re.compile(r"(?:,\s(?:\d+\.º\s[A-Z]|[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|[A-ZÀ-Þ]\w+(?:\s(?:[A-ZÀ-Þ]\w*|\d+\w*)){0,3}|\d+\s[A-ZÀ-Þ]\w+))*")
+_REST = re.compile(rf"(?:,\s(?:\d+\.º\s[A-Z]|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}}|[{_UP}]\w+(?:\s(?:[{_UP}]\w*|\d+\w*)){{0,3}}|\d+\s[{_UP}]\w+))*")
 ADDRESSES = (
     re.compile(
         rf"(?<![\w/])(?:(?:{_both(_NAMED)})\s(?:No\.?\s)?\d+[A-Za-z]?(?:/\d+)?,?\s(?:\d+(?:-[A-Z]|[a-z])?\s)?{_WORD}"
@@ -70,6 +85,14 @@ _AT_SIGNS = ("@", "＠", "(at", "[at", "{at", "<at", "( at", "[ at", " dot ", "[
 _STREET_NAME = re.compile(rf"{_WORD}$")
 
 
+def _run_before(text: str, end: int, signs: str) -> int:
+    """Where the run of letters, digits and ``signs`` that ends at ``end`` begins."""
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in signs or unicodedata.combining(text[start - 1])):
+        start -= 1
+    return start
+
+
 def addresses(text: str) -> list[tuple[int, int]]:
     """(start, end) of each street address, in order; the first of overlapping ones is kept."""
     spans = []
@@ -79,11 +102,10 @@ def addresses(text: str) -> list[tuple[int, int]]:
         for m in pattern.finditer(text):
             start, end = m.span()
             if kind == 2:
-                base = max(0, start - 40)
-                name = _STREET_NAME.search(text[base:start])
+                name = _STREET_NAME.search(text, _run_before(text, start, "'’-_"), start)
                 if not name:
                     continue
-                start = base + name.start()
+                start = name.start()
             if kind == 0:
                 end = _SAME_LINE.match(text, end).end()
             spans.append((start, _REST.match(text, end).end()))
@@ -91,7 +113,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
     return [s for i, s in enumerate(spans) if not any(s[0] < e for _, e in spans[:i])]
 
 
-CAPITAL = re.compile(r"(?<![\w@/#'’.+-])(?:[A-ZÀ-Þ][a-zß-ÿ'’A-ZÀ-Þ]*[a-zß-ÿA-ZÀ-Þ]|[A-ZÀ-Þ]\.|al-[A-ZÀ-Þ]\w+)(?:-[A-ZÀ-Þ][\w'’]+)*(?![\w@])")
+CAPITAL = re.compile(rf"(?<![\w@/#'’.+-])(?:[{_UP}][{_LOW}'’{_UP}]*[{_LOW}{_UP}]|[{_UP}]\.|al-[{_UP}]\w+)(?:-[{_UP}][\w'’]+)*(?![\w@])")
 _GAP = re.compile(r"[ \xa0](?:(?:bin|ibn|de|da|del|di|van|von|der|den|la|el|al|dos|du)[ \xa0]|(?:bin|ibn|de|van|al)[ \xa0-])?")
 _NEAR = re.compile(r"[\w@#'’]+[.:,(]?|--|[(<>/:,.\n]")
 
@@ -109,6 +131,11 @@ _BEFORE_ADDRESS = re.compile(r"(?:\bvisit us at |\bwalk in at |\bsits at |\baddr
 _TITLES = {"mr", "mrs", "ms", "dr", "prof", "herr", "frau", "sr", "sra", "señor", "señora", "mme", "monsieur", "madame", "miss"}
 
 
+def _plain(name: str) -> str:
+    """A name without accents and hyphens: similar spellings are one token."""
+    return "~" + "".join(c for c in unicodedata.normalize("NFKD", name) if c.isalnum())
+
+
 def _shape(text: str) -> str:
     """Groups of digits by length, with the signs between them."""
     t = re.sub(r"\d+", lambda m: str(len(m[0])), re.sub(r"\s", " ", text))
@@ -137,10 +164,9 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
     taken: list[tuple[int, int]] = []
     low = text.lower()
     for at in AT.finditer(text) if " AT " in text or any(k in low for k in _AT_SIGNS) else ():
-        base = max(0, at.start() - 80)
-        local, domain = LOCAL.search(text[base : at.start()]), DOMAIN.match(text, at.end())
+        local, domain = LOCAL.search(text, _run_before(text, at.start(), "_.%+'-"), at.start()), DOMAIN.match(text, at.end())
         if local and domain:
-            start, end = base + local.start(), domain.end()
+            start, end = local.start(), domain.end()
             features = ["e", f"e:sign={at[0].strip().lower()}", f"e:spelled={'dot' in domain[0].lower()}", f"e:in={field == 'recruiter_email'}"]
             nodes.append(Node(start, end, (OUT, "email"), features, (text[start:end].lower(),)))
             taken.append((start, end))
@@ -151,8 +177,8 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
     inside = lambda s, e: any(a < e and s < b for a, b in taken)
     for m in NUMBER.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
-        if digits < 6 or digits > 18 or inside(*m.span()):
-            continue
+        if digits < 6 or inside(*m.span()):
+            continue  # nobody's number is shorter
         start, end = m.span()
         run = m[0]
         if run.startswith("(") and ")" not in run:
@@ -161,7 +187,7 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
         bare = re.sub(r"\D", "", run)
         features = ["n", f"n:shape={shape}", f"n:groups={re.sub(r'[^0-9A]+', '-', shape)}", f"n:head={run[:1] if run[0] in '+(' else bare[:2]}", f"n:len={digits}", f"n:tail={bool(m['tail'])}", f"n:letters={bool(m['id'])}"]
         labels = (OUT, "national_id") if m["id"] else (OUT, "phone", "national_id")
-        nodes.append(Node(start, end, labels, features + _around(text, start, end, "n"), (bare,)))
+        nodes.append(Node(start, end, labels, features + _around(text, start, end, "n"), (bare, bare[-7:])))
         taken.append(m.span())
     words = list(CAPITAL.finditer(text))
     firm = {w.lower() for w in re.findall(r"\w+", company or "")}
@@ -172,7 +198,7 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
         if gap != " " and not _GAP.fullmatch(gap) or inside(a.start(), b.end()):
             continue
         first, last, stop = a[0], b[0], b.end()
-        middle = bool(re.fullmatch(r"[A-Z]\.", last))
+        middle = len(last) == 2 and last[1] == "."
         if middle:  # an initial between the names: take the next word in
             c = CAPITAL.match(text, b.end() + 1)
             if not c:
@@ -187,7 +213,7 @@ def candidates(text: str, company: str | None, field: str) -> list[Node]:
         upper = first.isupper() and last.isupper() and len(first) > 2
         shout = upper and not any(x.islower() for x in text[max(0, a.start() - 16) : a.start()] + text[stop : stop + 16])
         features = ["m", f"m:first={f}", f"m:last3={s[-3:]}", f"m:initial={first[1:] == '.'}", f"m:upper={upper}{shout}", f"m:mid={middle or len(gap) > 1}", f"m:firm={f in firm}{s in firm}", f"m:field={field == 'recruiter_email'}"]
-        nodes.append(Node(a.start(), stop, (OUT, "person_name"), features + _around(text, a.start(), stop, "m"), (s, f"{f} {s}")))
+        nodes.append(Node(a.start(), stop, (OUT, "person_name"), features + _around(text, a.start(), stop, "m"), (s, f"{f} {s}", _plain(s))))
     nodes.sort(key=lambda n: (n.start, -n.end))
     return nodes
 
@@ -222,20 +248,23 @@ class Field:
 
     @staticmethod
     def edges(nodes: list[Node], text: str) -> list[tuple[int, int, str]]:
-        """(i, j, kind): overlapping or adjacent nodes of one line, and nodes that repeat a token."""
+        """(i, j, kind): overlapping or adjacent nodes of one line, and nodes that repeat a token or have a similar one."""
         out = []
         last: dict[str, int] = {}
         for j, n in enumerate(nodes):
+            tied = False
             if j:
                 p = nodes[j - 1]
                 if n.start < p.end:
                     out.append((j - 1, j, "over"))
+                    tied = True
                 elif n.start - p.end < 120 and "\n" not in text[p.end : n.start]:
                     out.append((j - 1, j, "chain"))
-            for k in n.keys:
-                if k in last and last[k] != j - 1:
-                    out.append((last[k], j, "skip"))
-                last[k] = j
+                    tied = True
+            for i in sorted({last[k] for k in n.keys if k in last}):
+                if i != j - 1 or not tied:
+                    out.append((i, j, "skip"))
+            last.update(dict.fromkeys(n.keys, j))
         return out
 
     def pair(self, kind: str, a: str, b: str) -> float:

@@ -19,6 +19,7 @@ QUERIES = {
     "p3_found": _q(neardup.found_reposts, "postings"),
     "p3_groups": _q(neardup.repost_groups, "postings"),
     "p4_found": _q(canonical.found_canonical, "postings", "places", "role_titles"),
+    "p4_matches": _q(canonical.all_matches, "postings", "places", "role_titles"),
     "p5_found": _q(survivors.found_survivors, "postings", "platforms", "date_sources"),
     "p5_judged": _q(survivors.judged_values, "postings", "platforms", "date_sources"),
     "p5_quality": _q(survivors.source_quality, "postings", "platforms", "date_sources"),

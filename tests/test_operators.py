@@ -129,3 +129,19 @@ def test_fair_shares_rotation_and_runs(spark):
     rows = spark.createDataFrame([("a", i, s) for i, s in enumerate("xxoxxxo")], "k string, i int, s string")
     got = [r.run for r in ranking.failure_runs(rows, "k", ["i"], F.col("s") == "x").orderBy("i").collect()]
     assert got == [1, 2, 0, 1, 2, 3, 0]
+
+
+def test_numbered_equals_row_number_with_a_hot_key(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = {r.i: r.place for r in ranking.numbered(df, "k", [F.col("v").desc(), F.col("i")], "place").collect()}
+    for k in ("hot", "a", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))
+        assert [got[r[1]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_payload_lists_keep_the_first_place_of_each_value(spark):
+    rows = spark.createDataFrame([("a", 2, "t", ["x", "y"]), ("a", 1, "tt", ["y", "z", "y"]), ("b", 3, None, None)], "k string, n long, t string, u array<string>")
+    got = {r.k: (r.n, r.first_row, r.t, r.u) for r in identity.merge_payload(rows, "k", "n", "t", F.lit(0), [], ["u"]).collect()}
+    assert got == {"a": (2, 1, "tt", ["y", "z", "x"]), "b": (1, 3, None, [])}

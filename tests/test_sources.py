@@ -112,3 +112,18 @@ def test_streams(spark, data, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == outcomes.count()
     admitted = drain(streams.rolling_admission(stream(), "site", "started_at", "run_id", 3, 10**9), "admission")
     assert admitted.count() == outcomes.count() and admitted.where("admitted").groupBy("site").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_one_of_two_writers_follows_a_version(spark, tmp_path):
+    schema = T.StructType().add("k", T.StringType())
+    a, b = (Snapshots(spark, f"file://{tmp_path}", "t", schema) for _ in range(2))
+    row = spark.createDataFrame([("x",)], schema)
+    a.write(row)
+    before = a.version()
+    a.write(row)
+    with pytest.raises(StateError):  # both began from the same version
+        b._publish(7, before)
+    # a writer that ended before it moved the pointer has published all the same
+    row.write.parquet(f"file://{tmp_path}/t/v=3")
+    b._renamed("3", "after=2")
+    assert a.version() == 3 and a.read().count() == 1 and a.write(row) == 4

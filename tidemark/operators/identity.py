@@ -19,9 +19,17 @@ def merge_payload(rows: DataFrame, key: str, order: str, text: str, rank: Column
     """
     best = F.max_by(text, F.struct(F.coalesce(rank, F.lit(0)).alias("r"), F.coalesce(F.length(text), F.lit(0)).alias("l"), (-F.col(order)).alias("o")))
     filled = [F.min_by(F.col(c), F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(order))).alias(c) for c in first]
-    # a list is sorted by its row's place before it is flattened, so order survives the shuffle
-    lists = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("v")))), lambda x: F.coalesce(x["v"], F.array().cast("array<string>"))))).alias(c) for c in union]
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_row"), best.alias(text), *filled, *lists)
+    whole = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_row"), best.alias(text), *filled)
+    if not union:
+        return whole
+    # only the first place of each distinct value is gathered, so a group takes as much room as its merged row
+    none = F.array().cast("array<string>")
+    placed = lambda c: F.transform(F.coalesce(F.col(c), none), lambda v, i: F.struct(F.lit(c).alias("column"), v.alias("value"), i.alias("i")))
+    values = F.concat(*map(placed, union))
+    long = rows.select(F.col(key).alias("__k"), F.col(order).alias("__o"), F.explode(values).alias("v")).groupBy("__k", "v.column", "v.value").agg(F.min(F.struct("__o", "v.i")).alias("at"))
+    united = long.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("at", "column", "value"))).alias("all"))
+    gathered = lambda c: F.coalesce(F.transform(F.filter("all", lambda x: x["column"] == c), lambda x: x["value"]), none).alias(c)
+    return whole.join(united, F.col(key).eqNullSafe(F.col("__k")), "left").select(*whole.columns, *map(gathered, union))
 
 
 def blocks(rows: DataFrame, ordinal: str, keys: Column) -> DataFrame:
@@ -167,6 +175,26 @@ def write_back(rows: DataFrame, enriched: DataFrame, key: str, columns: list[str
     return refresh(rows, enriched, key, columns)
 
 
+def retained(receipts: DataFrame, seen: DataFrame, key: str, seen_key: str) -> DataFrame:
+    """Receipts whose key is still remembered as seen."""
+    return receipts.join(seen.select(F.col(seen_key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_semi")
+
+
+def apply_details(cards: DataFrame, details: DataFrame, key: str, guard: str | None = None) -> DataFrame:
+    """Cards without a full description take it from ``details (key, description)``; every other field stays the card's own.
+
+    ``details`` has one row per key. ``guard`` is a column of both that must agree where the detail has
+    one (an identity that changed in between); rows that took a description are warned ``cached_description``.
+    """
+    d = details.select(F.col(key).alias("__k"), F.col("description").alias("__text"), *([F.col(guard).alias("__guard")] if guard else []))
+    joined = cards.join(d, F.col(key) == F.col("__k"), "left")
+    same = F.col("__guard").isNull() | F.col("__guard").eqNullSafe(F.col(guard)) if guard else F.lit(True)
+    takes = F.coalesce(~F.col("description_status").eqNullSafe(F.lit("full")) & (F.trim("__text") != "") & same, F.lit(False))
+    warned = F.array_append(F.coalesce("evidence_warnings", F.array().cast("array<string>")), F.lit("cached_description"))
+    changed = {"description": F.col("__text"), "description_status": F.lit("full"), "evidence_warnings": warned}
+    out = joined.withColumn("__takes", takes)
+    return out.select(*[F.when(F.col("__takes"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else c for c in cards.columns])
+
 
 #: Fields of a merged posting that its first row with a value fills.
 FILLED = ("location", "posted_at", "expires_at", "candidate_locations", "salary_currency", "salary_text", "salary_interval", "application_url", "job_level", "job_type")

@@ -91,3 +91,26 @@ def assessment(outcomes: DataFrame, run: str, ignored: dict[str, list[str]]) ->
     good, bad = F.col("status").isin(*GOOD), ~F.col("status").isin(*GOOD, "skipped")
     a = outcomes.groupBy(run).agg(F.bool_or(good).alias("g"), F.sort_array(F.collect_set(F.when(bad & counted, F.concat_ws(":", "site", "status")))).alias("reasons"))
     return a.select(run, F.when(~F.col("g"), "failed").when(F.size("reasons") > 0, "degraded").otherwise("ok").alias("state"), "reasons")
+
+
+def precision_at(rows: DataFrame, order: list[Column], k: int, relevant: Column) -> DataFrame:
+    """One row: how many of the first ``k`` rows there are, and the share of relevant ones; null for none."""
+    top = rows.orderBy(*order).limit(k)
+    return top.agg(F.count(F.lit(1)).alias("shown"), F.round(F.try_divide(F.count_if(relevant), F.count(F.lit(1))), 4).alias("precision"))
+
+
+def delivery_counts(outcomes: DataFrame, run: str, key: str) -> DataFrame:
+    """Per run: distinct keys delivered, and failed without a delivery in the run, permanent failures among them."""
+    best = outcomes.groupBy(run, key).agg(F.bool_or(F.col("status") == "delivered").alias("done"), F.bool_or(F.col("status") == "permanent_failure").alias("lost"))
+    done = F.coalesce("done", F.lit(False))
+    return best.groupBy(run).agg(F.count_if(done).alias("delivered"), F.count_if(~done).alias("failed"), F.count_if(~done & F.coalesce("lost", F.lit(False))).alias("permanent"))
+
+
+def queue_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: entries before, added, left, removed, and pending and exhausted ones after."""
+    b, a = before.select(F.col(key).alias("__b")).distinct(), after.select(F.col(key).alias("__a"), "status")
+    j = b.join(a, F.col("__b") == F.col("__a"), "full_outer")
+    return j.agg(
+        F.count("__b").alias("initial"), F.count_if(F.col("__b").isNull()).alias("enqueued"), F.count_if(F.col("__a").isNull()).alias("removed"),
+        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "exhausted").alias("exhausted"),
+    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.storage import stash
+
 
 def ranked(rows: DataFrame, order: list[Column], ordinal: str, limit: int | None = None) -> DataFrame:
     """Rows in order, ties in input order; with ``limit`` only the top rows (no full sort)."""
@@ -11,12 +13,25 @@ def ranked(rows: DataFrame, order: list[Column], ordinal: str, limit: int | None
     return out.limit(limit) if limit is not None else out
 
 
+def numbered(rows: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """Add ``out``: the place, from 1, of each row among those of its key, in an order without ties.
+
+    As ``row_number``, but a key may hold any share of the rows: they are cut into ranges of (key, order),
+    numbered inside each range, and the counts of the ranges before are added. Null is a key like any other.
+    """
+    cut = stash(rows.repartitionByRange(F.col(key), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(Window.partitionBy("__range", key).orderBy(*order))
+    counts = cut.groupBy(F.col("__range").alias("__r"), F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__key").orderBy("__r")) - F.col("__n")).drop("__n")  # one row per key and range
+    placed = cut.withColumn("__inside", inside).join(before, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__key")))
+    return placed.withColumn(out, F.col("__inside") + F.col("__before")).drop("__range", "__r", "__key", "__inside", "__before")
+
+
 def round_robin(rows: DataFrame, track: str, order: list[Column], ordinal: str) -> DataFrame:
     """Add ``turn`` (place within its track) and ``track_rank`` (tracks by first appearance); order by both to interleave."""
-    w = Window.partitionBy(track).orderBy(*order, F.col(ordinal).asc())
     first = rows.groupBy(track).agg(F.min(ordinal).alias("__f"))
     ranks = first.select(F.col(track).alias("__t"), F.row_number().over(Window.orderBy("__f")).alias("track_rank"))  # one row per track
-    return rows.withColumn("turn", F.row_number().over(w)).join(ranks, F.col(track).eqNullSafe(F.col("__t"))).drop("__t")
+    return numbered(rows, track, [*order, F.col(ordinal).asc()], "turn").join(ranks, F.col(track).eqNullSafe(F.col("__t"))).drop("__t")
 
 
 def aging_priority(rank: Column, waited_seconds: Column, hours: int) -> Column:

@@ -124,3 +124,23 @@ def build_queue(queue: DataFrame, cards: DataFrame, key: str, now: Column, reten
         F.when(F.coalesce("attempts", F.lit(0)) >= most_attempts, "exhausted").otherwise("pending").alias("status"),
     )
     return merged.orderBy("priority", "queued_at", key).limit(keep)
+
+
+def admission(reservations: DataFrame, key: str, at: str, now: Column, most: int, days: int, spacing_hours: int, account: DataFrame | None = None, reserve: int = 0) -> DataFrame:
+    """``(key, recent, denial)``: whether one more request of each key may be made now; null denial admits it.
+
+    The first that applies: clock_ahead (a reservation lies in the future), rolling_exhausted,
+    minimum_interval, credit_reserve, hourly_limit. ``account`` has ``key, remaining, hour_used, hour_limit``;
+    a key without a row there isn't limited by it.
+    """
+    t, limit = F.unix_micros(at), F.unix_micros(now)
+    held = reservations.groupBy(key).agg(F.max(t).alias("__last"), F.count_if((t > limit - days * 86_400_000_000) & (t <= limit)).alias("recent"))
+    if account is not None:
+        held = held.join(account.select(F.col(key).alias("__k"), "remaining", "hour_used", "hour_limit"), F.col(key) == F.col("__k"), "left")
+    denial = (
+        F.when(F.col("__last") > limit, "clock_ahead").when(F.col("recent") >= most, "rolling_exhausted")
+        .when(limit - F.col("__last") < spacing_hours * 3_600_000_000, "minimum_interval")
+    )
+    if account is not None:
+        denial = denial.when(F.col("remaining") <= reserve, "credit_reserve").when(F.col("hour_used") >= F.col("hour_limit"), "hourly_limit")
+    return held.select(key, "recent", denial.alias("denial"))

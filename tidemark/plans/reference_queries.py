@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import extract, markup, text
+from tidemark.functions import adapters, extract, markup, text
 from tidemark.operators import identity, metrics, ranking, reconcile, rules, state
 from tidemark.plans import pipeline, settings
 from tidemark.storage import register, shared_dir, table
@@ -649,8 +649,8 @@ def rotation(o):
     sql="with d as (select *, row_number() over (partition by status order by attempted_at, job_id, message_id nulls last, received_at, attempts) as n from (select distinct * from deliveries)) select status, cast(floor((n - 1) / 5) as bigint) as batch, count(*) as size, min(job_id) as first_id from d group by all",
 )
 def digests(d):
-    w = Window.partitionBy("status").orderBy("attempted_at", "job_id", F.col("message_id").asc_nulls_last(), "received_at", "attempts")
-    numbered = d.distinct().withColumn("batch", ranking.batches(F.row_number().over(w), 5))
+    order = [F.col("attempted_at"), F.col("job_id"), F.col("message_id").asc_nulls_last(), F.col("received_at"), F.col("attempts")]
+    numbered = ranking.numbered(d.distinct(), "status", order, "place").withColumn("batch", ranking.batches(F.col("place"), 5))
     return numbered.groupBy("status", "batch").agg(F.count(F.lit(1)).alias("size"), F.min("job_id").alias("first_id"))
 
 
@@ -866,6 +866,146 @@ def merge_delivery(d, seen):
     return pending.join(acked, "job_id", "left_anti")
 
 
+# --- records out of what sources return -----------------------------------------------------------
+
+_HOSTS = ["jobmoor.example", "talentbay.example"]
+_PROVIDERS = [("moor", ["jobmoor.example", "www.jobmoor.example"], "/([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)"), ("bay", ["talentbay.example", "www.talentbay.example"], "/(jobs)/view/(?:[^/]*-)?([0-9]+)")]
+
+
+@query(
+    "q_first_links", "postings",
+    sql=_URL_SQL.replace(f"select posting_no, {_clean('url')} as u from postings", f"select posting_no, {_clean('l')} as u, i from (select posting_no, unnest(ls) as l, generate_subscripts(ls, 1) as i from (select posting_no, list_concat([application_url], coalesce(source_urls, []), [url]) as ls from postings))")
+    .replace("select posting_no, u, lower", "select posting_no, i, u, lower").replace("select posting_no, case when scheme", "select posting_no, arg_min(url, i) filter (url is not null) as link from (select posting_no, i, case when scheme") + ") group by posting_no",
+)
+def first_links(p):
+    links = F.concat(F.array("application_url"), F.coalesce("source_urls", F.array().cast("array<string>")), F.array("url"))
+    return p.select("posting_no", adapters.first_link(links).alias("link"))
+
+
+@query(
+    "q_search_records", "postings",
+    sql=f"""select posting_no, case when {_clean('salary_source')} = 'direct_data' then 'disclosed' when {_clean('salary_currency')} <> '' then 'inferred' else 'unknown' end as evidence,
+    case when platform in ('Talentbay') and is_remote = false then null else is_remote end as remote, case when {_clean('description')} <> '' then 'full' else 'missing' end as description_status,
+    search_track || ':' || left(sha256(coalesce(platform, '') || '|' || coalesce(search_track, '') || '|' || coalesce(query_id, '')), 16) as plan from postings""",
+)
+def search_records(p):
+    c = F.col
+    return p.select(
+        "posting_no", adapters.salary_evidence(c("salary_source"), c("salary_currency")).alias("evidence"), adapters.reported_remote(c("is_remote").cast("string"), c("platform"), ["talentbay"]).alias("remote"),
+        F.when(text.clean_text(c("description")) != "", "full").otherwise("missing").alias("description_status"), adapters.plan_id(c("search_track"), c("platform"), c("search_track"), c("query_id")).alias("plan"),
+    )
+
+
+@query(
+    "q_employer_ids", "postings",
+    sql=f"""with c as ({_URL_SQL}), x as (select posting_no, url, regexp_extract(url, '^https://([^/?:]*)', 1) as host, regexp_extract(url, '^https://[^/?]*([^?]*)', 1) as path from c)
+    select posting_no, case when host in ('jobmoor.example', 'www.jobmoor.example') and regexp_full_match(path, '/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+') then 'moor' when host in ('talentbay.example', 'www.talentbay.example') and regexp_full_match(path, '/jobs/view/(?:[^/]*-)?[0-9]+') then 'bay' end as provider,
+    case when host like '%jobmoor.example' and regexp_full_match(path, '/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+') then regexp_extract(path, '([A-Za-z0-9_-]+)$', 1) when host in ('talentbay.example', 'www.talentbay.example') and regexp_full_match(path, '/jobs/view/(?:[^/]*-)?[0-9]+') then regexp_extract(path, '([0-9]+)$', 1) end as id from x""",
+)
+def employer_ids(p):
+    found = p.select("posting_no", adapters.employer_posting(F.col("url"), _PROVIDERS).alias("e"))
+    return found.select("posting_no", "e.provider", "e.id")
+
+
+@query(
+    "q_simplified_queries", "postings",
+    sql="""select posting_no, concat_ws(' ', 'site:posts', case when contains(lower(title), 'lahore') then 'Lahore' when contains(lower(title), 'remote') then 'Remote' end,
+    case when contains(lower(title), 'data') then 'Data' when contains(lower(title), 'nurse') then 'Nurse' else 'software' end, 'hiring') as query from postings where title is not null and not contains(title, 'site:')""",
+)
+def simplified_queries(p):
+    rows = p.where("title is not null and not contains(title, 'site:')")
+    return rows.select("posting_no", adapters.simplified(F.col("title"), ["Lahore", "Remote"], ["Data", "Nurse"], "site:posts", "software", "hiring").alias("query"))
+
+
+@query(
+    "q_recent_posts", "postings",
+    sql="""select posting_no, coalesce(regexp_matches(url, '(?i)^https?://([^/?#@]*[.])?(jobmoor|talentbay)[.]example(:[0-9]*)?(/jobs/|/viewjob)'), false) as is_post,
+    coalesce(floor((epoch_us(timestamp '2026-08-01') - epoch_us(captured_at)) / 86400000000.0) between 0 and 60, false) as recent from postings""",
+)
+def recent_posts(p):
+    return p.select("posting_no", adapters.post_url(F.col("url"), _HOSTS, ["/jobs/", "/viewjob"]).alias("is_post"), adapters.recent(F.col("captured_at"), _now(), 60).alias("recent"))
+
+
+@query("q_receipts_kept", "deliveries", "seen_identities", sql="select job_id, message_id, attempts from deliveries where job_id in (select identity from seen_identities)")
+def receipts_kept(d, seen):
+    return identity.retained(d, seen, "job_id", "identity").select("job_id", "message_id", "attempts")
+
+
+@query(
+    "q_cached_details", "postings",
+    sql="""with d as (select url, arg_max(description, (length(description), -posting_no)) as description, arg_max(platform, (length(description), -posting_no)) as platform from postings where description_status = 'full' and description is not null and url is not null group by url),
+    j as (select p.posting_no, p.title, p.description_status as old, p.description as own, d.description as text, coalesce(coalesce(p.description_status, '') <> 'full' and trim(d.description, ' ') <> '' and (d.platform is null or d.platform is not distinct from p.platform), false) as takes, coalesce(len(p.evidence_warnings), 0) as warned from postings p left join d on p.url = d.url)
+    select posting_no, title, case when takes then 'full' else old end as status, md5(case when takes then text else own end) as text_md5, (warned + case when takes then 1 else 0 end)::integer as warnings from j""",
+)
+def cached_details(p):
+    full = p.where("description_status = 'full' and description is not null and url is not null")
+    best = F.max_by(F.struct("description", "platform"), F.struct(F.length("description").alias("n"), (-F.col("posting_no")).alias("o"))).alias("b")
+    details = full.groupBy("url").agg(best).select("url", "b.description", "b.platform")
+    cards = identity.apply_details(p.select("posting_no", "title", "url", "platform", "description", "description_status", "evidence_warnings"), details, "url", "platform")
+    warnings = F.size(F.coalesce("evidence_warnings", F.array().cast("array<string>")))
+    return cards.select("posting_no", "title", F.col("description_status").alias("status"), F.md5(F.col("description").cast("binary")).alias("text_md5"), warnings.alias("warnings"))
+
+
+# --- more counts, gates and orders ----------------------------------------------------------------
+
+
+@query(
+    "q_precision_at_10", "postings", "feedback_labels",
+    sql=f"""with d as (select job_id, max({_RANK} * 1000 + score) as s, min(posting_no) as o from ({_DECIDE.replace('select posting_no,', 'select posting_no,', 1)}) group by job_id), t as (select label from feedback_labels join d using (job_id) where s >= 1000 order by s desc, o limit 10)
+    select count(*) as shown, round(count(*) filter (label = 'relevant') / nullif(count(*), 0), 4) as precision from t""",
+)
+def precision_at_10(p, labels):
+    best = decided(p).groupBy("job_id").agg(F.max(rules.tier_rank(F.col("tier")) * 1000 + F.col("score")).alias("s"), F.min("posting_no").alias("o"))
+    shown = labels.join(best, "job_id").where("s >= 1000")
+    return metrics.precision_at(shown, [F.col("s").desc(), F.col("o")], 10, F.col("label") == "relevant")
+
+
+@query("q_score_gate", "postings", sql=f"select posting_no, case when tier <> 'rejected' and score < 40 then 'review' else tier end as tier from ({_DECIDE})")
+def score_gate(p):
+    low = (F.col("tier") != rules.TIERS[0]) & (F.col("score") < 40)
+    return decided(p).select("posting_no", F.when(low, rules.TIERS[1]).otherwise(F.col("tier")).alias("tier"))
+
+
+@query(
+    "q_delivery_counts", "deliveries",
+    sql="""with b as (select date_trunc('day', attempted_at) as day, job_id, coalesce(bool_or(status = 'delivered'), false) as done, coalesce(bool_or(status = 'permanent_failure'), false) as lost from deliveries group by all)
+    select epoch_us(day) as day_us, count(*) filter (done) as delivered, count(*) filter (not done) as failed, count(*) filter (not done and lost) as permanent from b group by day""",
+)
+def delivery_counts(d):
+    out = metrics.delivery_counts(d.withColumn("day", F.date_trunc("day", "attempted_at")), "day", "job_id")
+    return out.select(_us("day").alias("day_us"), "delivered", "failed", "permanent")
+
+
+@query(
+    "q_queue_counts", "deliveries", "postings",
+    sql=f"""with b as (select distinct job_id from deliveries where job_id is not null), a as ({SQL['q_queue_build']}) select count(b.job_id) as initial, count(*) filter (b.job_id is null) as enqueued, count(*) filter (a.job_id is null) as removed,
+    count(*) filter (a.status = 'pending') as pending, count(*) filter (a.status = 'exhausted') as exhausted from b full join a on a.job_id = b.job_id""",
+)
+def queue_counts(d, p):
+    return metrics.queue_counts(d.where("job_id is not null"), queue_build(d, p), "job_id")
+
+
+@query(
+    "q_backend_order", "query_outcomes",
+    sql=f"with h as (select backend, max(epoch_us(started_at)) filter ({_GOOD}) as healthy_us from {_OUT} where backend is not null group by backend) select backend, healthy_us, row_number() over (order by healthy_us desc nulls last, backend) as place from h",
+)
+def backend_order(o):
+    """Backends, the one that worked last first; a configuration-sized list."""
+    h = o.where("backend is not null").groupBy("backend").agg(F.max(F.when(F.col("status").isin(*metrics.GOOD), _us("started_at"))).alias("healthy_us"))
+    return h.withColumn("place", F.row_number().over(Window.orderBy(F.col("healthy_us").desc_nulls_last(), "backend")).cast("bigint"))
+
+
+@query(
+    "q_admission_now", "query_outcomes",
+    sql=f"""with h as (select run_id, max(epoch_us(started_at)) as last, count(*) filter (epoch_us(started_at) > epoch_us(timestamp '2026-06-01') - 31*86400*1000000::bigint and epoch_us(started_at) <= epoch_us(timestamp '2026-06-01')) as recent, min(raw) as remaining from {_OUT} group by run_id)
+    select run_id, recent, case when last > epoch_us(timestamp '2026-06-01') then 'clock_ahead' when recent >= 30 then 'rolling_exhausted' when epoch_us(timestamp '2026-06-01') - last < 240*3600*1000000::bigint then 'minimum_interval' when remaining <= 5 then 'credit_reserve' when 1 >= remaining then 'hourly_limit' end as denial from h""",
+)
+def admission_now(o):
+    o = o.distinct()
+    account = o.groupBy("run_id").agg(F.min("raw").alias("remaining")).select("run_id", "remaining", F.lit(1).alias("hour_used"), F.col("remaining").alias("hour_limit"))
+    return state.admission(o, "run_id", "started_at", F.lit("2026-06-01 00:00:00").cast("timestamp"), 30, 31, 240, account, 5)
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 
@@ -901,6 +1041,17 @@ def stream_dedup(o):
     return _drained(streams.deduplicated(keyed, "k", "started_at", "3650 days").select("run_id", "query_id", "site", "phase"), "dedup")
 
 
+@stream_query(
+    "q_stream_windows", "query_outcomes",
+    sql="""with w as (select epoch_us(date_trunc('day', started_at)) as start_us, site, count(*) as n from query_outcomes where started_at is not null group by all)
+    select start_us, site, n from w where start_us + 86400*1000000::bigint <= (select max(epoch_us(started_at)) from query_outcomes) - 7200*1000000::bigint""",
+)
+def stream_windows(o):
+    """Requests per day and site; a day is given out once the watermark, two hours behind, has passed its end."""
+    counts = _drained(streams.windowed_counts(o, "started_at", ["site"], "1 day", "2 hours"), "windows")
+    return counts.select(_us("start").alias("start_us"), "site", "n")
+
+
 @stream_query("q_stream_admission", "query_outcomes", sql="select site, count(*) as n, least(count(*), 3) as admitted from query_outcomes group by site")
 def stream_admission(o):
     rows = _drained(streams.rolling_admission(o, "site", "started_at", "run_id", 3, 10**9), "admission")

@@ -1,12 +1,14 @@
 """State tables as versioned snapshots: written whole, validated, published by an atomic pointer.
 
-``<root>/<table>/v=<n>`` holds version n as Parquet and ``<root>/<table>/CURRENT`` names the
-published one. A reader sees the old version or the new one, never a mixture; the previous valid
-version stays as backup.
+``<root>/<table>/v=<n>`` holds version n as Parquet, ``after=<n>`` names the version that follows n, and
+``CURRENT`` names a published one from which a reader goes on. Giving ``after=<n>`` its name is the one
+atomic step: exactly one writer can follow a version. A reader sees the old version or the new one,
+never a mixture; the previous valid version stays as backup.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -28,20 +30,27 @@ class Snapshots:
     def _path(self, name: str):
         return self.hadoop.Path(f"{self.base}/{name}")
 
-    def version(self) -> int | None:
-        """The published version; None if nothing was published; StateError if the pointer is broken."""
-        if not self.fs.exists(self._path("CURRENT")):
-            return None
-        stream = self.fs.open(self._path("CURRENT"))
+    def _text(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
         try:
-            text = bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode().strip()
         except (Py4JJavaError, UnicodeDecodeError) as error:
-            raise StateError(f"{self.base}: the pointer cannot be read") from error
+            raise StateError(f"{self.base}: {name} cannot be read") from error
         finally:
             stream.close()
-        if not text.isdigit() or not self.fs.exists(self._path(f"v={text}")):
-            raise StateError(f"{self.base}: the pointer names no version: {text!r}")
-        return int(text)
+
+    def version(self) -> int | None:
+        """The published version; None if nothing was published; StateError if the pointer is broken."""
+        current = 0
+        if self.fs.exists(self._path("CURRENT")):
+            text = self._text("CURRENT")
+            if not text.isdigit() or not self.fs.exists(self._path(f"v={text}")):
+                raise StateError(f"{self.base}: the pointer names no version: {text!r}")
+            current = int(text)
+        # a writer may have ended between naming its version and moving the pointer
+        while self.fs.exists(self._path(f"after={current}")):
+            current = int(self._text(f"after={current}"))
+        return current or None
 
     def read(self, version: int | None = None) -> DataFrame:
         """The published (or a given) version; an empty table where nothing was published; fails closed otherwise."""
@@ -73,19 +82,31 @@ class Snapshots:
         self._publish(number, before)
         return number
 
-    def _publish(self, number: int, before: int | None) -> None:
-        if self.version() != before:
-            raise StateError(f"{self.base}: another version was published meanwhile")
-        new = self._path(f".CURRENT-{number}")
-        stream = self.fs.create(new, True)
+    def _renamed(self, content: str, name: str, *options: str) -> None:
+        """A small file written aside and given its name."""
+        jvm = self.spark.sparkContext._jvm
+        aside = self._path(f".{uuid.uuid4().hex}")
+        stream = self.fs.create(aside, False)
         try:
-            stream.write(bytearray(str(number).encode()))
+            stream.write(bytearray(content.encode()))
         finally:
             stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, self._path("CURRENT"), options)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        given = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, len(options))
+        for i, option in enumerate(options):
+            given[i] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, option)
+        try:
+            context.rename(aside, self._path(name), given)
+        except Exception:
+            self.fs.delete(aside, False)
+            raise
+
+    def _publish(self, number: int, before: int | None) -> None:
+        try:
+            self._renamed(str(number), f"after={before or 0}")
+        except Exception as error:  # noqa: BLE001  the name is taken
+            raise StateError(f"{self.base}: another version was published meanwhile") from error
+        self._renamed(str(number), "CURRENT", "OVERWRITE")
 
     def publish(self, merge: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], int] | None = None, attempts: int = 3) -> int:
         """Read, merge and publish; on a concurrent publication read again, at most ``attempts`` times."""

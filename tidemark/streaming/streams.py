@@ -25,8 +25,8 @@ def rolling_admission(stream: DataFrame, key: str, at: str, request: str, most:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         held = list(state.get[0]) if state.exists else []
-        for part in parts:
-            part = part.sort_values([at, request])
+        # the requests of one key in a micro-batch come in several chunks; their order is that of time, not of chunks
+        for part in [pd.concat(list(parts)).sort_values([at, request])]:
             answers = []
             for t in part[at].astype("int64") // 1_000_000_000 if str(part[at].dtype).startswith("datetime64[ns") else part[at].map(lambda x: int(x.timestamp())):
                 held = [h for h in held if t - h < seconds]

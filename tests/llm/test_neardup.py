@@ -72,6 +72,13 @@ def test_exact_copies_and_groups(spark):
     assert got[7] == (1, 1, 1) and got[41] == (41, 1, 1) and got[42] == (42, 42, 0) and 43 not in got
 
 
+def test_a_large_class_of_copies_is_cut_and_loses_no_pair(spark, monkeypatch):
+    rows = [{"description": " ".join(VOCABULARY[:60])} for _ in range(40)] + [{"description": " ".join(VOCABULARY[100:160])}] * 2
+    monkeypatch.setattr(neardup, "COPIES", 7)
+    got = [tuple(r) for r in found_reposts(postings(spark, rows)).collect()]
+    assert sorted(got) == [*combinations(range(1, 41), 2), (41, 42)]
+
+
 def test_empty_and_clashing_columns(spark):
     assert found_reposts(postings(spark, [])).count() == 0
     rows = postings(spark, fixture(families=2)).selectExpr("*", "1 as hashes", "2 as rep", "3 as key", "4 as body")

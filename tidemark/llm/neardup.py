@@ -41,6 +41,8 @@ LEAST_FIRST = 13
 #: Entries whose anchors are worked on at a time.
 CHUNK = 40_000
 PAIRS_AT_ONCE = 1_000_000
+#: A class of exact copies above this many rows is cut into parts of it when its pairs are written out.
+COPIES = 2000
 #: Candidate ids up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the [23, 12] Golay code
@@ -277,8 +279,12 @@ def found_reposts(postings: DataFrame, share: float = 0.70, least_words: int = 4
     a = members.select(F.col("rep").alias("a"), F.col("posting_no").alias("x"))
     b = members.select(F.col("rep").alias("b"), F.col("posting_no").alias("y"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
-    copies = members.alias("m").join(members.alias("n"), (F.col("m.rep") == F.col("n.rep")) & (F.col("m.posting_no") < F.col("n.posting_no")))
-    within = copies.select(F.col("m.posting_no").alias("x"), F.col("n.posting_no").alias("y"))
+    # a class of copies is cut into parts: each part of it meets all of it in a task of its own
+    sizes = members.groupBy("rep").count().where("count > 1").select("rep", F.ceil(F.col("count") / COPIES).cast("int").alias("parts"))
+    copied = stash(members.join(sizes, "rep"), "copied")
+    ours = copied.select("rep", F.col("posting_no").alias("x"), F.pmod(F.xxhash64("posting_no"), F.col("parts")).cast("int").alias("part"))
+    theirs = copied.select("rep", F.col("posting_no").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = ours.join(theirs, ["rep", "part"]).where("x < y").select("x", "y")
     found = across.unionByName(within)
     return found.select(F.least("x", "y").alias("posting_no_a"), F.greatest("x", "y").alias("posting_no_b"))
 

@@ -42,6 +42,14 @@ def test_hard_pieces(library):
         assert encoder().encode(text) == library(text)
 
 
+def test_a_full_memo_of_pairs_changes_nothing(library, monkeypatch):
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_PAIRS", 3)
+    text = "Letters are read daily; étage 漢字 and 12345 more."
+    assert encoder().encode(text * 3) == library(text * 3) and len(encoder().fits) >= 1
+
+
 @needs_vocabulary
 def test_ids_query(spark):
     got = {r.doc_id: r.ids for r in token_ids(documents(spark, ["Hello world", "", None, "Hello world"])).collect()}

@@ -25,6 +25,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 CACHE = 300_000
 
+#: Pairs of tokens whose fit a worker remembers.
+MOST_PAIRS = 1_000_000
+
 
 class Encoder:
     """Byte-level BPE by longest matches and adjacent-token compatibility."""
@@ -69,6 +72,8 @@ class Encoder:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()  # a worker lives long; what is needed is soon learned again
             found = self.fits[key] = self._compatible(left, right)
         return found
 

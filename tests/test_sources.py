@@ -95,6 +95,12 @@ def test_report(spark, tmp_path):
     assert data["problems"][0]["reason"] == "mail [redacted] now" and "| site |" in (tmp_path / "r" / "summary.md").read_text()
 
 
+def test_a_report_says_what_it_leaves_out(spark, tmp_path):
+    problems = spark.range(30).selectExpr("cast(id as string) as site", "id as n")
+    data = json.loads(sinks.write_report({}, problems, tmp_path / "r", 5).read_text())
+    assert (len(data["problems"]), data["problems_in_all"]) == (5, 30) and "5 of 30 problems" in (tmp_path / "r" / "summary.md").read_text()
+
+
 def test_streams(spark, data, tmp_path):
     outcomes = spark.read.parquet(f"{data}/query_outcomes.parquet")
     outcomes.write.parquet(str(tmp_path / "in"))

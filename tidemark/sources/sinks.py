@@ -64,16 +64,20 @@ def delivery_sink(log_path: str, key: str, order: str, send: Callable[[list[dict
 
 
 def write_report(counts: dict, problems: DataFrame, directory: str | Path, most_rows: int = 1000) -> Path:
-    """``run.json`` and ``summary.md`` from counts and a bounded problem table; contacts are taken out."""
+    """``run.json`` and ``summary.md`` from counts and the first ``most_rows`` problems; contacts are taken out.
+
+    Both say how many problems there are in all.
+    """
     strings = [c for c, t in problems.dtypes if t == "string"]
     shown = problems.withColumns({c: sanitize(F.col(c)) for c in strings}).limit(most_rows)
     rows = [r.asDict() for r in shown.collect()]
+    total = len(rows) if len(rows) < most_rows else problems.count()
     folder = Path(directory)
     folder.mkdir(parents=True, exist_ok=True)
     new = folder / ".run.json"
-    new.write_text(json.dumps({"counts": counts, "problems": rows}, allow_nan=False, sort_keys=True, default=str), encoding="utf-8")
+    new.write_text(json.dumps({"counts": counts, "problems": rows, "problems_in_all": total}, allow_nan=False, sort_keys=True, default=str), encoding="utf-8")
     new.replace(folder / "run.json")
-    lines = ["# Run", "", *[f"- {k}: {v}" for k, v in counts.items()], "", "| " + " | ".join(shown.columns) + " |", "|" + " - |" * len(shown.columns)]
+    lines = ["# Run", "", *[f"- {k}: {v}" for k, v in counts.items()], "", f"{len(rows)} of {total} problems", "", "| " + " | ".join(shown.columns) + " |", "|" + " - |" * len(shown.columns)]
     lines += ["| " + " | ".join(str(r[c]).replace("|", "\\|") for c in shown.columns) + " |" for r in rows]
     (folder / "summary.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
     return folder / "run.json"

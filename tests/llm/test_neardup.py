@@ -88,3 +88,26 @@ def test_empty_and_clashing_columns(spark):
 def test_very_long_text(spark):
     rows = [{"description": " ".join(f"t{i}" for i in range(60_000))}, {"description": " ".join(f"t{i}" for i in range(59_000))}]
     assert [tuple(r) for r in found_reposts(postings(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_copies_of_a_hot_region_do_not_grow_with_it(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    blocks = rng.choice(1 << 23, 4000, replace=False)
+    rows = [(i, 60, [7] * 16, [int(b)] * 16, 1, 2, 3, 4) for i, b in enumerate(blocks)]
+    signatures = spark.createDataFrame(rows, neardup.SIGNATURE)
+    entries = neardup._entries(signatures, 0, 1)
+    region = entries.first()["region"]
+    monkeypatch.setattr(neardup, "HOT", 40)
+    hot = spark.createDataFrame([(region, 8)], "region long, bits int")
+    placed = neardup._placed(entries, hot, spark.createDataFrame([], "region long, division int, parts int"))
+    # parts compared pair by pair would be a hundred copies of each
+    assert 4000 < placed.count() < 5.5 * 4000 and placed.select("id").distinct().count() == 4000
+    assert placed.groupBy("key").count().agg({"count": "max"}).first()[0] < 6 * neardup.HOT
+
+
+def test_passes_sizes_and_divisions_lose_no_pair(spark, monkeypatch):
+    rows = fixture(seed=6)
+    whole = {tuple(r) for r in found_reposts(postings(spark, rows)).collect()}
+    monkeypatch.setattr(neardup, "PASS", 400)
+    monkeypatch.setattr(neardup, "HOT", 8)
+    assert {tuple(r) for r in found_reposts(postings(spark, rows)).collect()} == whole and not whole - brute(rows)

@@ -9,15 +9,19 @@ reach of both. Only fingerprints that meet are compared: by a sketch of 64 minha
 values, then exactly.
 
 Replication happens inside a region's task, not in the shuffle. Regions above HOT entries are
-cut into parts that are compared pair by pair of parts, so no task grows with a hot word or a
-hot family of texts. Exact copies are one set from the start. Texts are read twice and never
-shuffled: for the signatures of all, and for the words of the candidates.
+divided by the first bits of the anchors, and an entry goes to the divisions that hold anchors of
+it: at most the 5.3 anchors that it has on average, however large the region is. A division that a
+hot family of texts still fills is cut into parts that are compared pair by pair, so no task grows
+with a hot word or a hot family. Tables are taken some at a time, and the shuffle of one pass is
+gone before the next. Of the entries at an anchor only those meet whose sizes allow the similarity.
+Exact copies are one set from the start. Texts are read twice and never shuffled: for the
+signatures of all, and for the words of the candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.components import components
-from tidemark.storage import bounded_broadcast, stash
+from tidemark.storage import bounded_broadcast, remove, scratch, shuffles_dropped, stash
 
 K = 128
 TABLES = 16
@@ -38,17 +42,21 @@ HOT = 20_000
 SKETCH = 64
 LEAST_AGREE = 31
 LEAST_FIRST = 13
+#: Entries, before they are spread, whose tables are one pass: its shuffle is what the disk must hold.
+PASS = 4_000_000
 #: Entries whose anchors are worked on at a time.
 CHUNK = 40_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 1 << 17  # arrays that stay in the cache
 #: A class of exact copies above this many rows is cut into parts of it when its pairs are written out.
 COPIES = 2000
 #: Candidate ids up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the [23, 12] Golay code
 
-SIGNATURE = "id long, symbols array<int>, blocks array<int>, s1 long, s2 long, s3 long, s4 long"
-_SIGNATURE = pa.schema([("id", pa.int64()), ("symbols", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32())), *[(f"s{i}", pa.int64()) for i in (1, 2, 3, 4)]])
+SIGNATURE = "id long, size int, symbols array<int>, blocks array<int>, s1 long, s2 long, s3 long, s4 long"
+_SIGNATURE = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("symbols", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32())), *[(f"s{i}", pa.int64()) for i in (1, 2, 3, 4)]])
+_ENTRY = ("id", "size", "block", "s1", "s2", "s3", "s4")
+_SIZE_BITS = 20
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -127,7 +135,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks[:, t] = sum(((mixed[p] >> np.uint32(t)) & np.uint32(1)) << np.uint32(j) for j, p in enumerate(picks[t]))
         ends = pa.array(np.arange(n + 1, dtype=np.int32) * TABLES)
         lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).reshape(-1).view(np.int32))) for v in (low[:TABLES].T, blocks)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *map(pa.array, sketch)], schema=_SIGNATURE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), *lists, *map(pa.array, sketch)], schema=_SIGNATURE)
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,20 +146,43 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(d & np.uint64(0x1111111111111111)).astype(np.int16)
 
 
-def meet(key: np.ndarray, side: np.ndarray, block: np.ndarray, ids: np.ndarray, sketch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group ``key`` that meet at an anchor and whose sketches are near.
+def _divisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``region, bits, id, ...`` to a row for each division, by the first ``bits`` bits, that holds anchors of the entry."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        index, anchor = anchors(batch.column("block").to_numpy())
+        bits = batch.column("bits").to_numpy()[index]
+        index, division = np.divmod(np.unique(index.astype(np.int64) << BITS | anchor >> (BITS - bits)), 1 << BITS)
+        taken = batch.take(pa.array(index))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(division.astype(np.int32))], names=[*batch.schema.names, "division"])
+
+
+def _division_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``region, bits, block`` to how many entries each division gets, summed over a batch."""
+    for divided in _divisions(batches):
+        counted = pa.Table.from_batches([divided]).group_by(["region", "division"]).aggregate([([], "count_all")])
+        yield from counted.rename_columns(["region", "division", "n"]).to_batches()
+
+
+def meet(key: np.ndarray, bits: np.ndarray, division: np.ndarray, side: np.ndarray, size: np.ndarray, block: np.ndarray, ids: np.ndarray, sketch: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group ``key`` that meet at an anchor of its division, are of like size and whose sketches are near.
 
     ``side`` 2 compares with all of the group; 0 and 1 only with the other side. A pair may
     come out more than once.
     """
     index, anchor = anchors(block)
+    ours = anchor >> (BITS - bits[index]) == division[index]
+    index, anchor = index[ours], anchor[ours]
     starts = np.concatenate([[True], key[1:] != key[:-1]])  # entries come sorted by group
-    at = (np.cumsum(starts)[index] << BITS) | anchor
-    order = np.argsort(at, kind="stable")
+    sizes = np.minimum(size, (1 << _SIZE_BITS) - 1).astype(np.int64)
+    at = ((np.cumsum(starts)[index] << BITS | anchor) << _SIZE_BITS) | sizes[index]
+    order = np.argsort(at)
     at, index = at[order], index[order]
-    head = np.concatenate([[True], at[1:] != at[:-1]])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    counts = np.arange(len(at)) - first  # each entry meets those before it at its anchor
+    # each entry meets those before it at its anchor that are large enough: a smaller set has too few words for the share
+    least = np.ceil(share * sizes - 1e-6).astype(np.int64)[index]
+    first = np.searchsorted(at, at - sizes[index] + least)
+    counts = np.arange(len(at)) - first
     near_first = [s[index] for s in sketch[:2]]
     lows, highs = [], []
     total = np.cumsum(counts)
@@ -172,7 +203,7 @@ def meet(key: np.ndarray, side: np.ndarray, block: np.ndarray, ids: np.ndarray,
     return (np.concatenate(lows), np.concatenate(highs)) if lows else (ids[:0], ids[:0])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     """Entries sorted by group, some groups at a time; a group never spans two of them."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -180,7 +211,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows:
             c = {n: table.column(n).to_numpy() for n in table.column_names}
-            a, b = meet(c["key"], c["side"], c["block"], c["id"], [c[f"s{i}"].view(np.uint64) for i in (1, 2, 3, 4)])
+            a, b = meet(*[c[n] for n in ("key", "bits", "division", "side", "size", "block", "id")], [c[f"s{i}"].view(np.uint64) for i in (1, 2, 3, 4)], share)
             if len(a):
                 yield from pa.table({"a": a, "b": b}, schema=_PAIR).to_batches(max_chunksize=100_000)
 
@@ -219,11 +250,16 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     one row per task.
     """
     hashed = rows.select("posting_no", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes").alias("h2"), "hashes")
-    members = stash(hashed.select(F.col("posting_no").alias("id"), "h1", "h2", "hashes").mapInArrow(_sign_kept, f"{SIGNATURE}, h1 long, h2 long"), "signatures")
-    reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.any_value(c).alias(c) for c in ("symbols", "blocks", "s1", "s2", "s3", "s4")])
-    reps = stash(reps, "classes")
-    membership = members.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("posting_no"), "rep")
-    return stash(membership, "members"), reps.select(F.col("rep").alias("id"), "symbols", "blocks", "s1", "s2", "s3", "s4")
+    signatures: list[str] = []
+    rest = ("size", "symbols", "blocks", "s1", "s2", "s3", "s4")
+    with shuffles_dropped(rows.sparkSession):
+        members = stash(hashed.select(F.col("posting_no").alias("id"), "h1", "h2", "hashes").mapInArrow(_sign_kept, f"{SIGNATURE}, h1 long, h2 long"), "signatures", signatures)
+        reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.any_value(c).alias(c) for c in rest])
+        reps = stash(reps, "classes")
+        membership = members.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("posting_no"), "rep")
+        membership = stash(membership, "members", outside=True)
+    remove(rows.sparkSession, signatures[0])
+    return membership, reps.select(F.col("rep").alias("id"), *rest)
 
 
 def _sign_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +270,16 @@ def _sign_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*signed.columns, batch.column(1), batch.column(2)], names=[*_SIGNATURE.names, "h1", "h2"])
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: sets that meet at an anchor of some table and whose sketches are near."""
+def _entries(signatures: DataFrame, first: int, number: int) -> DataFrame:
+    """One entry ``(region, block, id, ...)`` per set and table, of ``number`` tables from ``first``."""
     tables = F.arrays_zip(F.col("symbols"), F.col("blocks"), F.sequence(F.lit(0), F.lit(TABLES - 1)).alias("t"))
-    entries = signatures.select("id", "s1", "s2", "s3", "s4", F.explode(tables).alias("e")).select(
-        F.xxhash64("e.t", "e.symbols").alias("region"), F.col("e.blocks").alias("block"), "id", "s1", "s2", "s3", "s4"
+    return signatures.select("id", "size", "s1", "s2", "s3", "s4", F.explode(F.slice(tables, first + 1, number)).alias("e")).select(
+        F.xxhash64("e.t", "e.symbols").alias("region"), F.col("e.blocks").alias("block"), "id", "size", "s1", "s2", "s3", "s4"
     )
-    hot = entries.groupBy("region").count().where(F.col("count") > HOT).select("region", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+
+
+def _placed(entries: DataFrame, hot: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Entries with the group ``key`` that they are compared in: their region, or divisions of a hot one, or parts of crowded divisions."""
     one = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     spread = F.transform(
@@ -249,23 +288,46 @@ def candidates(signatures: DataFrame) -> DataFrame:
             F.least(part, q).alias("i"), F.greatest(part, q).alias("j"), F.when(part == q, 2).when(part < q, 0).otherwise(1).alias("side")
         ),
     )
-    placed = entries.join(hot, "region", "left").select("*", F.explode(F.when(F.col("parts").isNull(), F.array(one)).otherwise(spread)).alias("p"))
-    key = F.when(F.col("parts").isNull(), F.col("region")).otherwise(F.xxhash64("region", "p.i", "p.j"))
-    placed = placed.select(key.alias("key"), F.col("p.side").cast("tinyint").alias("side"), "block", "id", "s1", "s2", "s3", "s4")
+    few = bounded_broadcast(hot, BROADCAST_ROWS)
+    cold = entries.join(few, "region", "left_anti").select(F.col("region").alias("key"), F.lit(0).alias("bits"), F.lit(0).alias("division"), F.lit(2).cast("tinyint").alias("side"), *_ENTRY)
+    inside = entries.join(few, "region").select("region", "bits", *_ENTRY)
+    divided = inside.mapInArrow(_divisions, f"{', '.join(f'{n} {t}' for n, t in inside.dtypes)}, division int")
+    placed = divided.join(bounded_broadcast(crowded, BROADCAST_ROWS), ["region", "division"], "left")
+    placed = placed.select("*", F.explode(F.when(F.col("parts").isNull(), F.array(one)).otherwise(spread)).alias("p"))
+    key = F.xxhash64("region", "division", "p.i", "p.j").alias("key")
+    return cold.unionByName(placed.select(key, "bits", "division", F.col("p.side").cast("tinyint").alias("side"), *_ENTRY))
+
+
+def candidates(signatures: DataFrame, share: float) -> DataFrame:
+    """``(a, b)``, a < b: sets that meet at an anchor of some table, could be similar by size and whose sketches are near."""
     n = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = placed.repartition(n, "key").sortWithinPartitions("key")
-    return grouped.mapInArrow(_compare, "a long, b long").distinct()
+    every = _entries(signatures, 0, TABLES)
+    with shuffles_dropped(signatures.sparkSession):
+        # a division gets some two to five times its share of the entries
+        bits = F.least(F.lit(12), F.ceil(F.log2(F.col("count") * 1.5 / HOT))).cast("int").alias("bits")
+        hot = stash(every.groupBy("region").count().where(F.col("count") > HOT).select("region", bits), "hot")
+        inside = every.join(bounded_broadcast(hot, BROADCAST_ROWS), "region").select("region", "bits", "block")
+        sizes = inside.mapInArrow(_division_sizes, "region long, division int, n long").groupBy("region", "division").agg(F.sum("n").alias("n"))
+        crowded = stash(sizes.where(F.col("n") > 2 * HOT).select("region", "division", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "crowded")
+        number = max(1, min(TABLES, PASS // max(1, signatures.count())))
+        passes = []
+        for first in range(0, TABLES, number):
+            placed = _placed(_entries(signatures, first, number), hot, crowded)
+            grouped = placed.repartition(n, "key").sortWithinPartitions("key")
+            passes.append(stash(grouped.mapInArrow(partial(_compare, share=share), "a long, b long").distinct(), "pass"))
+    return reduce(DataFrame.unionByName, passes).distinct()
 
 
 def similar_classes(postings: DataFrame, signatures: DataFrame, share: float, least_words: int) -> DataFrame:
     """``(a, b)``, a < b: classes whose words in both are at least ``share`` of the words in either."""
-    pairs = stash(candidates(signatures), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("posting_no")).distinct()
-    hashed = stash(eligible(postings.join(bounded_broadcast(wanted, BROADCAST_ROWS), "posting_no", "left_semi"), least_words), "words")
-    left, right = (hashed.select(F.col("posting_no").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ha", "hb"))
-    either = F.size("ha") + F.size("hb") - both
-    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(share) * either - 1e-9).select("a", "b")
+    with shuffles_dropped(postings.sparkSession):
+        pairs = stash(candidates(signatures, share), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("posting_no")).distinct()
+        hashed = stash(eligible(postings.join(bounded_broadcast(wanted, BROADCAST_ROWS), "posting_no", "left_semi"), least_words), "words")
+        left, right = (hashed.select(F.col("posting_no").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+        both = F.size(F.array_intersect("ha", "hb"))
+        either = F.size("ha") + F.size("hb") - both
+        return stash(pairs.join(left, "a").join(right, "b").where(both >= F.lit(share) * either - 1e-9).select("a", "b"), "similar", outside=True)
 
 
 def found_reposts(postings: DataFrame, share: float = 0.70, least_words: int = 40) -> DataFrame:
@@ -274,8 +336,9 @@ def found_reposts(postings: DataFrame, share: float = 0.70, least_words: int = 4
     Rows with a null description or one of fewer than ``least_words`` words are left out; null
     titles and companies count as empty; an empty table gives an empty result.
     """
-    members, signatures = classes(eligible(postings, least_words))
-    pairs = similar_classes(postings, signatures, share, least_words)
+    with scratch():
+        members, signatures = classes(eligible(postings, least_words))
+        pairs = similar_classes(postings, signatures, share, least_words)
     a = members.select(F.col("rep").alias("a"), F.col("posting_no").alias("x"))
     b = members.select(F.col("rep").alias("b"), F.col("posting_no").alias("y"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
@@ -291,8 +354,9 @@ def found_reposts(postings: DataFrame, share: float = 0.70, least_words: int = 4
 
 def repost_groups(postings: DataFrame, share: float = 0.70, least_words: int = 40) -> DataFrame:
     """``(posting_no, class_id, group_id, links)``: exact-copy class, near-duplicate group and linked classes of each row."""
-    members, signatures = classes(eligible(postings, least_words))
-    pairs = stash(similar_classes(postings, signatures, share, least_words), "class-pairs")
+    with scratch():
+        members, signatures = classes(eligible(postings, least_words))
+        pairs = similar_classes(postings, signatures, share, least_words)
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     roots = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")), "reposts").withColumnsRenamed({"member": "rep", "root": "group_id"})
     return members.join(links, "rep", "left").join(roots, "rep", "left").select(

@@ -64,6 +64,21 @@ def test_near_listings_against_brute_force(spark):
     assert near_listings(postings(spark, [])).count() == 0
 
 
+def test_the_prefix_is_measured_on_all_texts_of_every_batch(spark):
+    rng = random.Random(8)
+    history = [rng.choices(WORDS, k=100) for _ in range(300)]
+    rows = [{"batch_no": 0, "description": " ".join(ws)} for ws in history]
+    rows += [{"batch_no": 1, "description": " ".join(rng.choices(WORDS, k=100))} for _ in range(20)]  # nothing to measure on
+    for ws in history:
+        i, j = rng.randrange(5, 45), rng.randrange(55, 95)
+        rows.append({"batch_no": 2, "description": " ".join([*ws[:i], "new", *ws[i + 1 : j], "newer", *ws[j + 1 :]])})
+    rows = [{"posting_no": i + 1, **r} for i, r in enumerate(rows)]
+    got = {r.posting_no: (r.accepted_no, r.links) for r in near_listings(postings(spark, rows)).collect()}
+    expected = brute(rows)
+    assert set(got) <= set(expected) and len(expected) == 300
+    assert sum(got.get(k) == v for k, v in expected.items()) >= 0.99 * len(expected)
+
+
 def test_the_prefix_is_widened_until_recall_holds(spark):
     rows = postings(spark, texts(seed=3))
     old, new = rows.where("coalesce(batch_no, 0) = 0"), rows.where("batch_no > 0")
